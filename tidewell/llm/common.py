@@ -161,7 +161,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
         for k in range(width):
             g += w[k : k + n] * U8(_PLACE[k])
         g = mix(g)
-        for a, b in zip(bound[:-1], bound[1:]):
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
             if b - a >= width:
                 out.append(np.unique(g[a : b - width + 1]))
             elif b > a:

@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-Words are runs of letters, digits and non-ASCII characters, or runs of other printable characters, case kept. Every one-
-and two-word gram of the whole text is hashed to one of 2^bits places; a text's vector is its counts over the square root
+Words are runs of letters, digits and non-ASCII characters, or runs of one other printable character, case kept. Every one-
+and two-word gram of the whole text is hashed to one of 2^bits places; two-word grams of one word twice, with or without
+a mark between, share a place, so that a stutter is known whatever its word. A text's vector is its counts over the square root
 of their sum, and a score is the logistic function of the sparse dot product with the weights. Nothing else of a row is
 an input.
 
@@ -36,7 +37,7 @@ def grams(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     kind = np.where(GAP[data], 0, np.where(SYMBOL[data] & ~((data >= 65) & (data <= 90)), 1, 2)).astype(np.uint8)
     change = np.empty(len(data) + 1, bool)
     change[0] = change[-1] = True
-    change[1:-1] = kind[1:] != kind[:-1]
+    change[1:-1] = (kind[1:] != kind[:-1]) | ((kind[1:] == 1) & (data[1:] != data[:-1]))
     change[off] = True
     cuts = np.flatnonzero(change)
     s, e = cuts[:-1], cuts[1:]
@@ -46,9 +47,12 @@ def grams(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     h = string_hashes(sums(data), s, e)
     prev = np.concatenate([np.zeros(1, U8), h[:-1]])[: len(h)]
     prev[bound[:-1][bound[:-1] < len(h)]] = U8(0x5851F42D4C957F2D)  # a text's first word follows its start
+    two = np.concatenate([np.zeros(2, U8), h[:-2]])[: len(h)]
+    mark = np.concatenate([[False], kind[s[:-1]] == 1])[: len(h)]
+    again = (h == prev) | ((h == two) & mark)
     both = np.empty(2 * len(h), np.int64)
     both[::2] = (h >> U8(64 - bits)).astype(np.int64)
-    both[1::2] = (mix(prev * U8(3) + h) >> U8(64 - bits)).astype(np.int64)
+    both[1::2] = (np.where(again, U8(0x632BE59BD9B4E019), mix(prev * U8(3) + h)) >> U8(64 - bits)).astype(np.int64)
     return both, 2 * bound
 
 

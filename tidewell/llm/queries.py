@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, licenses, packing, quality
+from tidewell.llm import bpe, licenses, near_embed, ngram_join, packing, quality
 from tidewell.llm.common import prepare, table
 
 
@@ -15,10 +15,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), keep_ids=False)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(prepare(spark), sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(prepare(spark), sf_dir, "documents"), keep_ids=False)
 
 
+def op4_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embed.near(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     got = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,7 +39,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
+    "op4_near_embeddings": op4_near_embeddings,
     "op7_quality": op7_quality,
     "op10_licenses": op10_licenses,
 }
