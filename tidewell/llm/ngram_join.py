@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import U8, by_bytes, mix, parts, prepare, saved, shingle_sets, signed, text_bytes
 from tidewell.llm.components import components
+from tidewell.llm.packed import by_key, unpack
 
 #: Hashes that a task holds before it packs them.
 HELD = 1 << 20
@@ -52,35 +53,6 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, 15 * n // 100)
 
 
-def pack(cls: np.ndarray, n: np.ndarray, count: np.ndarray, *values: np.ndarray) -> bytes:
-    """Runs of 32-bit values, count of them for each class."""
-    return b"".join([np.array([len(cls)], "<u8").tobytes(), cls.astype("<u8").tobytes(), n.astype("<u4").tobytes(), count.astype("<u4").tobytes(), *(v.astype("<u4").tobytes() for v in values)])
-
-
-def unpack(blobs: list[bytes], width: int) -> list[np.ndarray]:
-    """Classes, sizes, counts and so many columns of values of all blobs."""
-    got: list[list[np.ndarray]] = [[] for _ in range(3 + width)]
-    for b in blobs:
-        r = int(np.frombuffer(b, "<u8", 1)[0])
-        got[0].append(np.frombuffer(b, "<u8", r, 8))
-        got[1].append(np.frombuffer(b, "<u4", r, 8 + 8 * r))
-        got[2].append(np.frombuffer(b, "<u4", r, 8 + 12 * r))
-        rest = np.frombuffer(b, "<u4", offset=8 + 16 * r)
-        for k, v in enumerate(np.split(rest, width)):
-            got[3 + k].append(v)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in got]
-
-
-def by_key(key: np.ndarray, cls: np.ndarray, n: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The values (one row of each for a class) packed for each key."""
-    order = np.lexsort((cls, key))
-    key, cls, n, values = key[order], cls[order], n[order], tuple(v[order] for v in values)
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        run = np.flatnonzero(np.concatenate([[True], cls[a + 1 : b] != cls[a : b - 1]]))
-        yield int(key[a]), pack(cls[a:b][run], n[a:b][run], np.diff(np.append(run, b - a)), *(v[a:b] for v in values))
-
-
 def trie_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """A label for each of the sets (ascending distinct hashes); sets linked through similar ones have the same."""
     m, size = len(sets), np.array([len(x) for x in sets])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, licenses, near_embed, ngram_join, packing, quality
+from tidewell.llm import ann, bpe, licenses, near_embed, ngram_join, packing, quality, repeats
 from tidewell.llm.common import prepare, table
 
 
@@ -33,6 +33,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(prepare(spark), sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(prepare(spark), sf_dir, "documents")).drop("spans")
 
@@ -43,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_near_embeddings": op4_near_embeddings,
     "op7_quality": op7_quality,
+    "op8_neighbours": op8_neighbours,
+    "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {}
