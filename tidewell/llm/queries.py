@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import ann, bpe, licenses, near_embed, ngram_join, packing, quality, repeats
+from tidewell.llm import ann, bpe, chat, licenses, lm_score, near_embed, ngram_join, packing, quality, repeats
 from tidewell.llm.common import prepare, table
 
 
@@ -27,6 +27,14 @@ def op4_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embed.near(table(prepare(spark), sf_dir, "embeddings"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(prepare(spark), sf_dir, "conversations"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     got = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,9 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_near_embeddings": op4_near_embeddings,
+    "op5_chat": op5_chat,
+    "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
     "op8_neighbours": op8_neighbours,
     "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat": chat.ORACLE}
