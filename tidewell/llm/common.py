@@ -5,18 +5,17 @@ Texts reach Python as Arrow batches; their UTF-8 bytes are read in place, withou
 
 from __future__ import annotations
 
-import os
 import sys
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from tidewell.session import importable
+
 U8 = np.uint64
 #: Bytes of text that one vectorised step handles at most, unless one word is longer.
 STEP = 1 << 20
@@ -24,9 +23,7 @@ STEP = 1 << 20
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package and gives the session a checkpoint folder if it has none."""
-    env, sc = spark.sparkContext.environment, spark.sparkContext
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    sc = importable(spark).sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-checkpoints-"))
     elif sc.getCheckpointDir() is None:

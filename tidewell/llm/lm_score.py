@@ -1,16 +1,17 @@
 """LM scoring by cross-entropy difference: bigram models of a target and of a background corpus over one vocabulary.
 
-The vocabulary is the `vocabulary` most frequent words of both corpora together (ties to the smaller hash); all others are
-one unknown word, and a text starts with a start symbol. Each model counts every word and bigram of its whole corpus:
+The vocabulary is the most frequent words of both corpora together, at most `vocabulary` of them; words that tie at the
+cut stay out together. All others are one unknown word, and a text starts with a start symbol. Each model counts every word and bigram of its whole corpus:
 
     p(w) = (c(w) + 1) / (N + V),   p(w | u) = (c(u w) + mu p(w)) / (c(u) + mu)
 
 A text's losses are the means over its words of -ln p under either model, and its score is their difference, target less
 background: the smaller, the more it is like the target.
 
-Word counts are summed before they are shuffled. Bigrams of each text, with their counts, are packed for buckets, which
-count them in both corpora and send each text's share of the losses back; what is shuffled grows with the input. Only the
-vocabulary and its counts, of a fixed size, are broadcast. Texts take part under their hash, so that copies share a result.
+Word counts are summed before they are shuffled. The bigrams of some thousand texts, with their counts, are packed for
+buckets, which count them in both corpora and send each text's share of the losses back to where its texts' shares meet;
+what is shuffled grows with the input. Only the vocabulary and its counts, of a fixed size, are broadcast. Losses of a
+bucket travel as 32-bit floats. Texts take part under their hash, so that copies share a result.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case. Handled cases: null and empty texts
 have no words and null losses; an empty target leaves a uniform target model; repeated rows count each time in the corpora;
@@ -24,26 +25,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, SYMBOL, U8, by_bytes, mix, parts, prepare, saved, signed, text_bytes, word_hashes, words
-from tidewell.llm.packed import by_key, unpack
+from tidewell.llm.common import LOWER, STEP, SYMBOL, U8, by_bytes, mix, parts, prepare, saved, signed, text_bytes, word_hashes, words
 
 #: Words of the vocabulary at most; 0 is the unknown word and 65535 the start.
 VOCABULARY = 65_534
-HELD = 1 << 20
+HELD = 1 << 19
 _START = 65_535
 
 
-def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A double as two 32-bit integers."""
-    y = np.ascontiguousarray(x, np.float64).view(U8)
-    return y >> U8(32), y & U8(0xFFFFFFFF)
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit integers, byte by byte of all values, compressed."""
+    return zstandard.compress(b"".join([np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]), 1)
 
 
-def whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(U8) << U8(32)) | b).view(np.float64)
+def expand(data: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 4, -1)
+    return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
 
 
 def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", target_text: str = "text", vocabulary: int = VOCABULARY, mu: float = 10.0) -> DataFrame:
@@ -59,7 +61,7 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
         for batch in batches:
             data, off = text_bytes(batch.column(0))
             side = batch.column(2).to_numpy()
-            for i, j in by_bytes(off):
+            for i, j in by_bytes(off, 8 * STEP):
                 low = LOWER[data[off[i] : off[j]]]
                 s, e, bound = words(low, off[i : j + 1] - off[i], SYMBOL)
                 h = word_hashes(low, s, e)
@@ -68,55 +70,86 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
                     w, n = np.unique(h[of == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(n if k == 0 else 0 * n), pa.array(n if k else 0 * n)], ["w", "b", "t"])
 
-    counts = saved(both.mapInArrow(counted, "w long, b long, t long").groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")))
-    top = counts.orderBy(F.desc(F.col("b") + F.col("t")), "w").limit(vocabulary).toPandas()  # of a fixed size
+    counts = both.mapInArrow(counted, "w long, b long, t long").groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).withColumn("n", F.col("b") + F.col("t"))
+    counts = saved(counts)
+    least, held = 0, 0
+    for n, k in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():  # ends within the vocabulary
+        held += k
+        if held > vocabulary:
+            least = n
+            break
+    top = counts.where(F.col("n") > least).orderBy(F.desc("n"), "w").toPandas()  # of a bounded size
     all_b, all_t = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     texts_b, texts_t = both.agg(F.coalesce(F.sum(1 - F.col("side")), F.lit(0)), F.coalesce(F.sum("side"), F.lit(0))).first()
-    order = np.argsort(top["w"].to_numpy().astype(np.int64).view(U8))
-    known = top["w"].to_numpy().astype(np.int64).view(U8)[order]
+    hashes = top["w"].to_numpy().astype(np.int64).view(U8)
+    order = np.argsort(hashes)
+    known, number = hashes[order], order + 1  # the most frequent word is 1, so numbers are small and pack well
     size = len(known) + 1
     once = np.zeros((2, 65_536))
     for k, (c, total, texts) in enumerate((("b", all_b, texts_b), ("t", all_t, texts_t))):
-        once[k, 1:size] = top[c].to_numpy()[order]
+        once[k, 1:size] = top[c].to_numpy()
         once[k, 0] = total - once[k, 1:size].sum()
         once[k, _START] = texts
-    shared = spark.sparkContext.broadcast((known, once, size))
+    shared = spark.sparkContext.broadcast((known, number, once, size))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
-        held: list[tuple] = []
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            h, pair, n, side = (np.concatenate(x) for x in zip(*held))
-            out = list(by_key((mix(pair.astype(U8)) % U8(buckets)).astype(np.int64), h, side, pair, n))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "runs"])
+        known, number = shared.value[:2]
+        serial = TaskContext.get().partitionId() << 32
+        held: list[list[tuple]] = [[], []]  # of each side
+        owners: list[np.ndarray] = []
+        rows = [0, 0]
+
+        def flush(side: int) -> pa.RecordBatch:
+            nonlocal serial, owners
+            row, pair, n = (np.concatenate(x) for x in zip(*held[side]))
+            bucket = (mix(pair.astype(U8)) % U8(buckets)).astype(np.int64)
+            order = np.lexsort((pair, row, bucket))
+            row, pair, n, bucket = row[order], pair[order], n[order], bucket[order]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            serial += 1
+            own = np.concatenate(owners).tobytes() if side == 0 else b""
+            out = [(int(bucket[a]), serial, side, squeeze(np.diff(row[a:b], prepend=0), pair[a:b], n[a:b]), own if a == 0 else b"") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            held[side], rows[side] = [], 0
+            if side == 0:
+                owners = []
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "flush", "side", "runs", "owners"])
 
         for batch in batches:
             data, off = text_bytes(batch.column(0))
-            own, side = batch.column(1).to_numpy().view(U8), batch.column(2).to_numpy()
-            for i, j in by_bytes(off):
-                low = LOWER[data[off[i] : off[j]]]
-                s, e, bound = words(low, off[i : j + 1] - off[i], SYMBOL)
-                h = word_hashes(low, s, e)
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                ids = np.where(known[at] == h, at + 1, 0) if len(known) else np.zeros(len(h), np.int64)
-                prev = np.concatenate([[_START], ids[:-1]])[: len(ids)]
-                prev[bound[:-1][bound[:-1] < np.append(bound[1:], 0)[: len(bound) - 1]]] = _START
-                row = np.repeat(np.arange(j - i), np.diff(bound))
-                code, n = np.unique((row << 32) | (prev << 16) | ids, return_counts=True)
-                held.append((own[i + (code >> 32)], code & 0xFFFFFFFF, n, side[i + (code >> 32)].astype(np.int64)))
-                total += len(code)
-                if total > HELD:
-                    yield flush()
-                    held, total = [], 0
-        if held:
-            yield flush()
+            sides = batch.column(2).to_numpy()
+            for side in np.unique(sides).tolist():
+                mine = np.flatnonzero(sides == side)
+                if len(mine) < len(sides):
+                    d, o = text_bytes(batch.column(0).take(pa.array(mine)))
+                else:
+                    d, o = data, off
+                own = batch.column(1).to_numpy().view(U8)[mine]
+                for i, j in by_bytes(o, STEP):
+                    low = LOWER[d[o[i] : o[j]]]
+                    s, e, bound = words(low, o[i : j + 1] - o[i], SYMBOL)
+                    h = word_hashes(low, s, e)
+                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                    ids = np.where(known[at] == h, number[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                    prev = np.concatenate([[_START], ids[:-1]])[: len(ids)]
+                    prev[bound[:-1][np.diff(bound) > 0]] = _START
+                    row = rows[side] + np.repeat(np.arange(j - i), np.diff(bound))
+                    code, n = np.unique((row << 32) | (prev << 16) | ids, return_counts=True)
+                    if side == 0:
+                        owners.append(own[i:j])
+                    rows[side] += j - i
+                    held[side].append((code >> 32, code & 0xFFFFFFFF, n))
+                    if sum(len(x[0]) for x in held[side]) > HELD:
+                        yield flush(side)
+        for side in (0, 1):
+            if sum(len(x[0]) for x in held[side]):
+                yield flush(side)
 
     def losses(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, once, size = shared.value
-        h, side, runs, pair, n = unpack(pdf["runs"].tolist(), 2)
-        h, side = np.repeat(h, runs), np.repeat(side, runs)
+        _, _, once, size = shared.value
+        got = [expand(x, 3) for x in pdf["runs"]]
+        length = [len(x[0]) for x in got]
+        pair, n = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+        side = np.repeat(pdf["side"].to_numpy(), length)
         codes, back = np.unique(pair, return_inverse=True)
         u, w = (codes >> 16).astype(np.int64), (codes & 0xFFFF).astype(np.int64)
         loss = []
@@ -124,21 +157,29 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
             c = np.bincount(back, np.where(side == k, n, 0), minlength=len(codes))
             one = (once[k] + 1) / (once[k][:size].sum() + size)
             loss.append(-np.log((c + mu * one[w]) / (once[k][u] + mu)))
-        mine = side == 0
-        h, n, back = h[mine], n[mine].astype(np.float64), back[mine]
-        texts, of = np.unique(h, return_inverse=True)
-        t, b, m = (np.bincount(of, x, minlength=len(texts)) for x in (n * loss[0][back], n * loss[1][back], n))
-        zero = np.zeros(len(texts), np.int64)
-        out = list(by_key((mix(texts) % U8(buckets)).astype(np.int64), texts, zero, *halves(t), *halves(b), m.astype(np.int64)))
-        return pd.DataFrame({"part": [x for x, _ in out], "runs": [x for _, x in out]})
+        out, at = [], 0
+        for x, m, flush, of, owners in zip(got, length, pdf["flush"], pdf["side"], pdf["owners"]):
+            if of == 0:
+                row, k = np.unique(np.cumsum(x[0].astype(np.int64)), return_inverse=True)
+                b, c = back[at : at + m], n[at : at + m].astype(np.float64)
+                t, v, s = (np.bincount(k, y, minlength=len(row)) for y in (c * loss[0][b], c * loss[1][b], c))
+                out.append((flush, squeeze(np.diff(row, prepend=0), t.astype(np.float32).view(np.uint32), v.astype(np.float32).view(np.uint32), s), owners))
+            at += m
+        return pd.DataFrame(out, columns=["flush", "runs", "owners"]).astype({"flush": "int64"})
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, _, _, t1, t0, b1, b0, m = unpack(pdf["runs"].tolist(), 5)
-        texts, of = np.unique(h, return_inverse=True)
-        t, b, n = (np.bincount(of, x, minlength=len(texts)) for x in (whole(t1, t0), whole(b1, b0), m))
-        return pd.DataFrame({"h": signed(texts), "t": t, "b": b, "n": n.astype(np.int64)})
-
-    per = both.mapInArrow(packed, "bucket long, runs binary").groupBy("bucket").applyInPandas(losses, "part long, runs binary").groupBy("part").applyInPandas(summed, "h long, t double, b double, n long")
+        h = np.frombuffer(b"".join(pdf["owners"]), np.uint64)
+        t, b, n = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(h), np.int64)
+        for x in pdf["runs"]:
+            row, tt, bb, nn = expand(x, 4)
+            row = np.cumsum(row.astype(np.int64))
+            t[row] += tt.view(np.float32)
+            b[row] += bb.view(np.float32)
+            n[row] += nn
+        return pd.DataFrame({"h": signed(h), "t": t, "b": b, "n": n})
+
+    per = both.mapInArrow(packed, "bucket long, flush long, side int, runs binary, owners binary").groupBy("bucket").applyInPandas(losses, "flush long, runs binary, owners binary")
+    per = per.groupBy("flush").applyInPandas(summed, "h long, t double, b double, n long").where("n > 0").groupBy("h").agg(*[F.sum(c).alias(c) for c in "tbn"])
     copies = both.where("side = 0").groupBy("h").agg(F.count("*").alias("copies"))
     per = per.join(copies, "h").select("h", (F.col("n") / F.col("copies")).cast("long").alias("n_words"), (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss"))
     out = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).join(per, "h", "left")
