@@ -1,0 +1,286 @@
+"""Rules of the engine on small inputs."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.functions import codecs
+from tidewell.functions.bounds import cms_size, hll_error, hll_precision
+from tidewell.functions.scalar import json_string, normalized
+from tidewell.operators import ingest, metrics, routing, sketches, validate
+from tidewell.plans import stats
+from tidewell.session import configured
+from tidewell.sources import events as src
+from tidewell.streaming import pipeline
+
+
+# Routing
+
+
+def test_ring_moves_keys_only_to_the_new_node(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("tenant-"), "id").alias("key"))
+    nodes = [f"q-{i}" for i in range(4)]
+    a = routing.route(keys, "key", routing.ring(spark, nodes)).withColumnRenamed("node", "a")
+    rows = routing.route(a, "key", routing.ring(spark, [*nodes, "q-4"])).groupBy("a", "node").count().collect()
+    moved = sum(r["count"] for r in rows if r["a"] != r["node"])
+    assert all(r["node"] in (r["a"], "q-4") for r in rows)
+    assert 0.1 < moved / 20_000 < 0.3
+    per = Counter()
+    for r in rows:
+        per[r["a"]] += r["count"]
+    assert all(0.8 * 5_000 < n < 1.2 * 5_000 for n in per.values())
+
+
+def test_ring_without_nodes(spark):
+    with pytest.raises(LookupError):
+        routing.ring(spark, [])
+
+
+def greedy(sizes, most, entries=None):
+    out, b, size, n = [], 0, 0, 0
+    for x in sizes:
+        if n and (size + x > most or n == entries):
+            b, size, n = b + 1, 0, 0
+        out.append(b)
+        size, n = size + x, n + 1
+    return out
+
+
+@pytest.mark.parametrize("most,entries", [(200_000, None), (250_000, 10), (10_000, None), (3, 2)])
+def test_greedy_bins(spark, most, entries):
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice([1, 2, 900, 4000, 60_000])) for k in range(4) for i in range(60)]
+    got = routing.greedy(spark.createDataFrame(rows, "k int, i int, s int"), ["k"], "i", "s", most, entries).orderBy("k", "i").collect()
+    assert [r["bin"] for r in got] == [b for k in range(4) for b in greedy([s for a, _, s in rows if a == k], most, entries)]
+
+
+def test_bucket():
+    tokens, last = 5.0, 0
+    for want in (True,) * 5 + (False,):
+        tokens, last, ok, wait = routing.bucket_step(tokens, last, 0, 1, 5, 1)
+        assert ok is want
+    assert wait == 1000
+    assert routing.bucket_step(5.0, 0, 0, 10, 5, 6)[2:] == (False, -1)
+    tokens, last, ok, _ = routing.bucket_step(10.0, 0, 0, 100, 10, 10)
+    assert ok and routing.bucket_step(tokens, last, 50, 100, 10, 5)[2]
+    assert routing.bucket_step(3.0, 100, 50, 1, 5, 1)[0] == 2.0  # a clock that goes back refills nothing
+
+
+def test_bucket_allows_no_more_than_its_burst(spark):
+    df = spark.range(200).select(F.lit("t").alias("tenant_id"), F.col("id").alias("request"), F.lit(0).cast("bigint").alias("at_ms"), F.lit(1).cast("bigint").alias("cost"), F.lit(0.001).alias("rate"), F.lit(20).alias("burst"))
+    assert routing.token_bucket(df, ["at_ms", "request"]).where("allowed").count() == 20
+
+
+# Validation
+
+
+def test_validation(spark):
+    ok = ("00000000-0000-4000-8000-000000000001", "n", "u", None, "2024-01-01T00:00:00")
+    rows = [ok, ("x", *ok[1:]), (ok[0], "", *ok[2:]), (ok[0], "n" * 201, *ok[2:]), (ok[0], "n" * 200, *ok[2:]), (*ok[:3], "[]", ok[4]), (*ok[:3], "{", ok[4]), (*ok[:4], "soon"), (*ok[:4], None), (*ok[:3], "{}", "2024-01-01T00:00:00+05:00")]
+    df = spark.createDataFrame(rows, src.WIRE_EVENT)
+    got = df.select(validate.valid_event(*[F.col(c) for c in ("event_id", "name", "distinct_id", "properties", "occurred_at")]).alias("ok")).collect()
+    assert [r.ok for r in got] == [True, False, False, False, True, False, False, False, False, True]
+
+
+def test_range_checks():
+    assert validate.check_range("2024-01-01", "2024-01-31", most_days=31) == 31
+    for a, b, n in (("2024-01-02", "2024-01-01", 10), ("2024-01-01", "2024-02-01", 10), ("2024-01-01", "2024-01-01", 0), ("2024-01-01", "2024-01-01", 21)):
+        with pytest.raises(ValueError):
+            validate.check_range(a, b, n, most_days=31)
+
+
+def test_json_strings(spark):
+    configured(spark)
+    rows = ['{"path":"/a"}', '{"path":5}', '{"path":null}', '{"path":{}}', "{}", '{"path":""}', "{", None, '{"path":"x","path":"y"}']
+    got = spark.createDataFrame([(x,) for x in rows], "p string").select(json_string(F.col("p"), "path").alias("v")).collect()
+    assert [r.v for r in got] == ["/a", None, None, None, None, "", None, None, "y"]
+
+
+def test_instants_sort_whatever_their_offsets(spark):
+    rows = [("b", "2024-01-01T10:30:00+02:00"), ("c", "2024-01-01T09:00:00+00:00"), ("a", "2024-01-01T08:00:00")]
+    df = configured(spark).createDataFrame(rows, "k string, at string").orderBy(normalized(F.col("at")))
+    assert [r.k for r in df.collect()] == ["a", "b", "c"]
+
+
+# Idempotence
+
+
+def rows_of(spark, *rows):
+    return spark.createDataFrame(rows, "tenant_id string, event_id string, occurred_at string, batch_id long")
+
+
+def test_identities_differ(spark):
+    sent = rows_of(spark, ("t", "e", "1", 1), ("t", "e", "1", 2), ("t", "e", "2", 3), ("u", "e", "1", 4))
+    assert ingest.ingest(sent.limit(0), sent, "batch_id").count() == 2
+    assert sorted(r.batch_id for r in ingest.owned(sent).collect()) == [1, 3, 4]
+    stored = rows_of(spark, ("t", "e", "1", 2))
+    assert sorted(r.batch_id for r in ingest.owned(sent, stored).collect()) == [2, 3, 4]
+
+
+def test_last_in_message_keeps_the_first_place(spark):
+    df = spark.createDataFrame([(1, "a", 0, "x"), (1, "b", 1, "y"), (1, "a", 2, "z")], "m int, e string, p int, v string")
+    assert sorted(map(tuple, ingest.last_in_message(df, ["m"], "e", "p").collect())) == [(1, "a", 0, "z"), (1, "b", 1, "y")]
+
+
+# Sketches
+
+
+def zipf(n, items, s, seed):
+    rng = random.Random(seed)
+    return Counter(rng.choices([f"/p/{i}" for i in range(items)], [1 / (i + 1) ** s for i in range(items)], k=n))
+
+
+@pytest.mark.parametrize("n", [100, 1_000, 10_000, 200_000])
+def test_hll_error_and_union(spark, n):
+    df = spark.range(n).select(F.concat(F.lit("user_"), "id").alias("u"), (F.col("id") % 3).alias("part"))
+    r = sketches.hll_registers(df, "u", [])
+    est = sketches.hll_estimate(r, []).first().estimate
+    assert abs(est - n) <= max(1, 4 * hll_error(14) * n)
+    parts = sketches.hll_registers(df.where("part < 2").union(df.where("part > 0")), "u", ["part"])
+    assert sorted(map(tuple, sketches.hll_merge(parts, []).collect())) == sorted(map(tuple, r.collect()))
+
+
+def test_hll_bounds():
+    for p in (3, 19):
+        with pytest.raises(ValueError):
+            hll_precision(p)
+
+
+def test_cms(spark):
+    counts = zipf(50_000, 5_000, 1.1, 7)
+    width, depth = cms_size(0.005, 0.01)
+    items = spark.createDataFrame(list(counts.items()), "item string, n long")
+    cells = sketches.cms_cells(items, "item", "n", [], width, depth)
+    est = {r.item: r.estimate for r in sketches.cms_estimate(cells, items, "item", [], width, depth).collect()}
+    assert all(est[k] >= v for k, v in counts.items())
+    assert sum(est[k] - v > 0.005 * 50_000 for k, v in counts.items()) <= 0.01 * len(counts)
+    assert cms_size(0.001, 0.01) == (2719, 5)
+    for bad in ((0, 0.1), (0.1, 1), (1.5, 0.1)):
+        with pytest.raises(ValueError):
+            cms_size(*bad)
+
+
+def test_conservative_update_over_counts_less(spark):
+    counts = zipf(50_000, 5_000, 1.1, 7)
+    items = spark.createDataFrame([("k", *x) for x in counts.items()], "k string, item string, n long")
+    plain = {r.item: r.estimate for r in sketches.cms_estimate(sketches.cms_cells(items, "item", "n", [], 272, 5), items, "item", [], 272, 5).collect()}
+    got = {r.item: r.estimate for r in codecs.conservative_cells(items, ["k"], "item", "n", 272, 5).collect()}
+    assert all(got[k] >= v for k, v in counts.items())
+    assert sum(got[k] - v for k, v in counts.items()) < 0.7 * sum(plain[k] - v for k, v in counts.items())
+
+
+def test_ties_at_the_cut(spark):
+    c = spark.createDataFrame([("k", x, 5) for x in "abcd"], "k string, item string, n long")
+    assert [r.item for r in sketches.top(c, ["k"], "item", "n", 2).orderBy("rank").collect()] == ["a", "b"]
+    assert [r.item for r in sketches.top_merge(c, c, ["k"], "item", "n", 2).orderBy("rank").collect()] == ["c", "d"]
+
+
+def test_codecs():
+    import numpy as np
+
+    p, r = codecs.decode_hll(codecs.encode_hll(4, np.arange(16)))
+    assert p == 4 and r.tolist() == list(range(16))
+    cms = codecs.encode_cms(3, 2, 9, np.arange(6), True)
+    assert codecs.decode_cms(cms)[:4] == (3, 2, 9, True) and len(cms) == 21 + 48
+    assert codecs.decode_top(codecs.encode_top(2, cms, ["ü", "a"])) == (2, cms, ["a", "ü"])
+    for f, bad in ((codecs.decode_hll, b"HLL\x01\x04xx"), (codecs.decode_cms, b"XXX" + bytes(18)), (codecs.decode_top, b"TOP\x02" + bytes(8))):
+        with pytest.raises(ValueError):
+            f(bad)
+
+
+# Statistics
+
+
+def events(spark, rows):
+    df = spark.createDataFrame(rows, "tenant_id string, event_id string, distinct_id string, name string, properties string, at string")
+    return configured(spark) and df.select("tenant_id", "event_id", "distinct_id", "name", "properties", F.col("at").cast("timestamp_ntz").alias("occurred_at"), F.to_date("at").alias("day"))
+
+
+def test_stats_both_ways(spark):
+    rows = [("t", f"{d}{u}", f"u{u}", "page_view" if u % 3 else "signup", '{"path":"/x"}' if u % 2 else '{"path":1}', f"2024-01-0{d} 12:00:00") for d, us in ((1, range(600)), (2, range(200, 800))) for u in us]
+    ev = events(spark, rows)
+    exact = stats.stats(ev, "t", "2024-01-01", "2024-01-02").first()
+    approx = stats.approximate(sketches.hll_registers(ev, "distinct_id", ["tenant_id", "day"]), sketches.sketch_items(ev), "t", "2024-01-01", "2024-01-02").first()
+    assert exact.events == approx.events == 1200 and exact.unique_users == 800
+    assert abs(approx.unique_users - 800) <= 24
+    assert exact.top_events == approx.top_events and exact.top_pages == approx.top_pages
+    assert [r.key for r in exact.top_pages] == ["/x"]
+
+
+def test_days_are_half_open(spark):
+    ev = events(spark, [("t", "1", "u", "a", "{}", "2024-01-01 23:59:59.999"), ("t", "2", "u", "a", "{}", "2024-01-02 00:00:00")])
+    assert stats.stats(ev, "t", "2024-01-01", "2024-01-01").first().events == 1
+    assert stats.stats(ev, "t", "2024-01-03", "2024-01-03").first()[3:5] == (0, 0)
+
+
+def test_scan_reaches_the_files(spark, tmp_path):
+    src.write_events(events(spark, [("t", "1", "u", "a", "{}", "2024-01-01 10:00:00"), ("v", "2", "u", "a", "{}", "2024-01-02 00:00:00")]), str(tmp_path / "e"))
+    df = stats.totals(src.scan(spark.read.parquet(str(tmp_path / "e")), "t", "2024-01-01", "2024-01-01"))
+    plan = df._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "GreaterThanOrEqual(occurred_at" in plan
+    assert df.first().events == 1
+
+
+# Stream
+
+
+def message(batch, tenant, ids, day="2024-01-05", at="2024-01-04T10:00:00"):
+    es = ",".join(f'{{"event_id":"{i}","name":"page_view","distinct_id":"u{i}","properties":"{{\\"path\\":\\"/a\\"}}","occurred_at":"{at}"}}' for i in ids)
+    return f'{{"batch_id":"{batch}","tenant_id":"{tenant}","received_at":"{day}T00:00:00","events":[{es}]}}'
+
+
+@pytest.mark.parametrize("crash", [None, "stored", "written", "published"])
+def test_stream(spark, tmp_path, crash):
+    land = tmp_path / "land"
+    land.mkdir()
+    (land / "1.txt").write_text("\n".join([message("a", "t", [1, 2, 2]), "{not a message", message("b", "t", [2, 3])]))
+    (land / "2.txt").write_text("\n".join([message("a", "t", [1, 2, 2]), message("c", "v", [1], at="2024-01-01T00:00:00")]))
+    left = [1 if crash else 0]
+
+    def fail(at):
+        if at == crash and left[0]:
+            left[0] = 0
+            raise RuntimeError("crash")
+
+    for _ in range(3):
+        q = pipeline.start(spark, str(land), str(tmp_path / "root"), str(tmp_path / "check"), per_trigger=1, fail=fail)
+        try:
+            q.awaitTermination()
+            break
+        except Exception:
+            assert crash
+    root = str(tmp_path / "root")
+    assert sorted((r.tenant_id, r.event_count) for r in pipeline.usage(spark, root).collect()) == [("t", 3), ("v", 1)]
+    assert pipeline.read(spark, root, "events").count() == 4
+    assert pipeline.read(spark, root, "ledger").count() == 3
+    assert {(r.tenant_id, str(r.day)) for r in pipeline.read(spark, root, "items").collect()} == {("t", "2024-01-04"), ("v", "2024-01-01")}
+    assert [r.value for r in spark.read.text(f"{root}/dead/*").collect()] == ["{not a message"]
+
+
+def test_sinks(spark, tmp_path):
+    with pytest.raises(ValueError):
+        pipeline.Sinks("fax", "x")
+    df = spark.sql("select 'q-0' shard, 'b' batch_id, 't' tenant_id, '2024-01-01' received_at, array(struct('1' as event_id, 'n' as name, 'u' as distinct_id, '{}' as properties, '2024-01-01' as occurred_at)) events")
+    pipeline.Sinks("queue", str(tmp_path / "q")).write(df)
+    assert validate.parsed(src.read_envelopes(spark, str(tmp_path / "q"))).where("message is not null").count() == 1
+
+
+# Metrics
+
+
+def test_alarm_needs_all_periods(spark):
+    df = spark.createDataFrame([("t", f"2024-01-01 0{h}:00:00", n) for h, n in ((0, 3), (1, 3), (3, 3), (4, 3), (5, 3))], "k string, p string, n int").withColumn("p", F.col("p").cast("timestamp"))
+    a = metrics.alarms(df, ["k"], "p", "n", F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 06:00:00").cast("timestamp"), "1 hour", 2, 3)
+    assert [r.alarm for r in a.orderBy("p").collect()] == [False] * 5 + [True, False]
+
+
+def test_log_counters(spark):
+    lines = spark.createDataFrame([("committed 3 message(s) (2 retried deliveries, 1 already applied), 9 events",), ("commit failed; x (will retry) (will retry)",), (None,)], "value string")
+    assert metrics.log_counters(lines).first()[:] == (2, 1, 1, 2)
+
+
+def test_math():
+    assert math.isclose(hll_error(14), 1.04 / 128)
