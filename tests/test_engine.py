@@ -284,3 +284,64 @@ def test_log_counters(spark):
 
 def test_math():
     assert math.isclose(hll_error(14), 1.04 / 128)
+
+
+# Administration and the rest
+
+
+def test_migrations(spark, tmp_path):
+    from tidewell.sources import admin
+
+    ran, root = [], str(tmp_path / "root")
+    steps = [("002", "b", lambda: ran.append("002")), ("001", "a", lambda: ran.append("001"))]
+    assert admin.migrate(spark, root, steps) == ran == ["001", "002"]
+    assert admin.migrate(spark, root, [*steps, ("003", "c", lambda: ran.append("003"))]) == ["003"]
+    with pytest.raises(RuntimeError):
+        admin.migrate(spark, root, [("001", "edited", lambda: None)])
+
+
+def test_new_tenant(spark, tmp_path):
+    import hashlib
+
+    from tidewell.sources import admin
+
+    key = admin.create_tenant(spark, str(tmp_path), "t9", "Nine", "pro", 10, 20)
+    row = spark.read.parquet(str(tmp_path / "api_keys")).first()
+    assert row.key_hash == hashlib.sha256(key.encode()).hexdigest() and key.startswith(row.key_prefix) and len(row.key_prefix) == 12
+    assert spark.read.parquet(str(tmp_path / "tenants")).first().id == "t9"
+    with pytest.raises(ValueError):
+        admin.create_tenant(spark, str(tmp_path), "t", "n", "gold", 1, 1)
+
+
+def test_limiter_stream_equals_the_batch(spark, tmp_path):
+    from tidewell.streaming import limiter
+
+    rng = random.Random(2)
+    rows = [(f"t{rng.randrange(3)}", i, 40 * i, rng.randrange(1, 9)) for i in range(120)]
+    for k in range(3):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], "tenant_id string, request long, at_ms long, cost long").coalesce(1).write.json(str(tmp_path / "in" / str(k)))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else expiry keeps asking for batches
+    try:
+        s = spark.readStream.schema("tenant_id string, request long, at_ms long, cost long").json(str(tmp_path / "in" / "[0-9]"))
+        q = limiter.limited(s, 10.0, 7).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+        got = {r.request: (r.allowed, r.retry_after_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    df = spark.createDataFrame([(*r, 10.0, 7) for r in rows], "tenant_id string, request long, at_ms long, cost long, rate double, burst int")
+    want = {r.request: (r.allowed, r.retry_after_ms) for r in routing.token_bucket(df, ["at_ms", "request"]).collect()}
+    assert got == want and {a for a, _ in want.values()} == {True, False}
+    assert [limiter.retry_after(x) for x in (-1, 0, 1, 1000, 1001)] == [0, 0, 1, 1, 2]
+
+
+def test_records_and_load(spark):
+    import json
+
+    line = json.loads(metrics.record("n", {"Queue": "q"}, {"Billed": (3, "Count")}, 5))
+    assert line["Billed"] == 3 and line["Queue"] == "q" and line["_aws"]["CloudWatchMetrics"][0]["Dimensions"] == [["Queue"], []]
+    rows = [("ingest", 10.0, True, 100)] * 99 + [("ingest", 600.0, True, 100), ("stats", 20.0, True, 0)]
+    r = metrics.load_summary(spark.createDataFrame(rows, "kind string, ms double, ok boolean, events int"), 10.0).first()
+    assert (r.events_per_s, r.requests_per_s, r.p50, r.passed) == (1000.0, 10.0, 10.0, True)
+    assert [x[0] for x in spark.createDataFrame([(120,), (5,), (-1,), (None,)], "b int").select(metrics.steps(F.col("b"))).collect()] == [2, 1, -1, 0]
