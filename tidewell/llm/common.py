@@ -18,12 +18,13 @@ from tidewell.session import importable
 
 U8 = np.uint64
 #: Bytes of text that one vectorised step handles at most, unless one word is longer.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and gives the session a checkpoint folder if it has none."""
+    """Lets Python workers import this package, bounds the batches they get by bytes, and gives the session a checkpoint folder if it has none."""
     sc = importable(spark).sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-checkpoints-"))
     elif sc.getCheckpointDir() is None:
@@ -60,7 +61,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def by_bytes(off: np.ndarray, most: int = 4 * STEP) -> Iterator[tuple[int, int]]:
+def by_bytes(off: np.ndarray, most: int = STEP) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows of at most so many bytes, or of one row."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -108,7 +109,7 @@ _powers: list[np.ndarray] = [np.ones(1, U8), np.ones(1, U8)]
 def powers(n: int) -> list[np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     if len(_powers[0]) < n:
-        size = 1 << (max(n, STEP + 1) - 1).bit_length()
+        size = max(STEP + 2, 1 << (n - 1).bit_length() if n > STEP + 2 else 0)
         for k, b in enumerate((_BASE, _INV)):
             p = np.full(size, b, U8)
             p[0] = 1

@@ -6,8 +6,8 @@ a mark between, share a place, so that a stutter is known whatever its word. A t
 of their sum, and a score is the logistic function of the sparse dot product with the weights. Nothing else of a row is
 an input.
 
-Training reads a bounded sample of labelled rows: the `sample` rows least by a hash of their key. Its rows are few enough
-to broadcast and to meet in one task; the weights are of a fixed size. Scoring is one map over all rows.
+Training reads a bounded sample of labelled rows, once: the `sample` rows least by a hash of their key. They are few
+enough for one task, which streams them; the weights are of a fixed size. Scoring is one map over all rows.
 
 Handled cases: null and empty texts get the score of the bias; several labels of a key count as the largest; labels or
 keys that are null train nothing; without any labelled row every score is one half; an empty table gives no rows; other
@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,20 +55,29 @@ def grams(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return both, 2 * bound
 
 
-def train(places: list[np.ndarray], labels: list[int], *, bits: int = BITS, epochs: int = 2, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias after FTRL-proximal updates, row by row."""
-    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    weight = lambda i: np.where(np.abs(z[i]) > l1, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2), 0.0)
-    for _ in range(epochs):
-        for p, y in zip(places, labels):
-            at, count = np.unique(p, return_counts=True)
-            at, x = np.append(at, 1 << bits), np.append(count / np.sqrt(max(1, len(p))), 1.0)
-            w = weight(at)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
-            n[at] += g * g
-    w = weight(np.arange((1 << bits) + 1))
-    return w[:-1].astype(np.float32), float(w[-1])
+class Learner:
+    """FTRL-proximal logistic regression, a row at a time."""
+
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01) -> None:
+        self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
+        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last is the bias
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        z = self.z[at]
+        return np.where(np.abs(z) > self.l1, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2), 0.0)
+
+    def update(self, places: np.ndarray, label: int) -> None:
+        at, count = np.unique(places, return_counts=True)
+        at, x = np.append(at.astype(np.int64), 1 << self.bits), np.append(count / np.sqrt(max(1, len(places))), 1.0)
+        w = self.weights(at)
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
+        n = self.n[at]
+        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[at] = n + g * g
+
+    def model(self) -> tuple[bytes, float]:
+        w = self.weights(np.arange((1 << self.bits) + 1))
+        return w[:-1].astype("<f4").tobytes(), float(w[-1])
 
 
 def fold(key: Column, folds: int = 5) -> Column:
@@ -92,12 +100,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                 got = got.astype("<u4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([got[a:b].tobytes() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary())], ["at", "y", "places"])
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "y", "places"], kind="stable")
-        w, b = train([np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["places"]], pdf["y"].tolist(), bits=bits)
-        return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "bias": [b]})
-
-    got = rows.mapInArrow(places, "at long, y int, places binary").groupBy(F.lit(0).alias("all")).applyInPandas(learn, "weights binary, bias double").first()
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, some = Learner(bits), False
+        for batch in batches:
+            for y, p in zip(batch.column(1).to_pylist(), batch.column(2)):
+                learner.update(np.frombuffer(p.as_buffer(), "<u4"), y)
+                some = True
+        if some:
+            w, b = learner.model()
+            yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([b])], ["weights", "bias"])
+
+    # in one task, which holds the learner and a batch; the sort makes the result independent of how the rows came
+    ordered = rows.mapInArrow(places, "at long, y int, places binary").repartition(1).sortWithinPartitions("at", "y", "places")
+    got = ordered.mapInArrow(learn, "weights binary, bias double").first()
     return (bytes(got[0]), got[1]) if got else (bytes(4 << bits), 0.0)
 
 
