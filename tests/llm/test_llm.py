@@ -234,6 +234,26 @@ def test_trie_against_all_pairs():
         assert len(set(zip(got.tolist(), comp))) == len(set(comp)) == len(set(got.tolist()))
 
 
+def test_census(spark):
+    import pandas as pd
+
+    from tidewell.llm.census import census
+
+    def cut(batches):
+        for b in batches:
+            k = b.column(0).to_numpy().astype(np.uint64)
+            for i in range(0, len(k), 7):
+                yield k[i : i + 7], k[i : i + 7].tobytes()
+
+    def finish(kept, totals, keys):
+        return pd.DataFrame({"k": np.frombuffer(kept, np.int64), "n": totals, "key": keys.astype(np.int64)})
+
+    values = [RNG.randrange(1, 40) for _ in range(300)] + [5] * 200 + list(range(100, 130))
+    got = Counter(map(tuple, census(spark.createDataFrame([(v,) for v in values], "v long").repartition(6), cut, finish, "k long, n long, key long", 5).collect()))
+    n = Counter(values)
+    assert got == Counter((v, n[v], v if n[v] > 1 else 0) for v in values)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(250)] + [(7, 7), (9, None)]
@@ -335,10 +355,10 @@ def cut_by_hand(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram", [(200, 40), (20, 8), (12, 12)])
-def test_repeats(spark, edge, length, gram):
+@pytest.mark.parametrize("length,gram,hot", [(200, 40, 50_000), (200, 40, 2), (20, 8, 50_000), (20, 8, 1), (12, 12, 3)])
+def test_repeats(spark, edge, length, gram, hot):
     rows = EDGE + [(200 + i, prose(60) + "\n" + _base[40:300] + "\n" + prose(20)) for i in range(12)]
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.dedup(documents(spark, rows), length=length, gram=gram).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.dedup(documents(spark, rows), length=length, gram=gram, hot=hot).collect())
     assert got == Counter((k, *x) for (k, _), x in zip(rows, cut_by_hand([t for _, t in rows], length)))
 
 

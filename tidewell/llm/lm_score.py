@@ -25,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import LOWER, STEP, SYMBOL, U8, by_bytes, mix, parts, prepare, saved, signed, text_bytes, word_hashes, words
+from tidewell.llm.packed import expand, squeeze
 
 #: Words of the vocabulary at most; 0 is the unknown word and 65535 the start.
 VOCABULARY = 65_534
@@ -38,16 +38,6 @@ HELD = 1 << 19
 _START = 65_535
 
 
-def squeeze(*columns: np.ndarray) -> bytes:
-    """Columns of 32-bit integers, byte by byte of all values, compressed."""
-    return zstandard.compress(b"".join([np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]), 1)
-
-
-def expand(data: bytes, columns: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 4, -1)
-    return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
-
-
 def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", target_text: str = "text", vocabulary: int = VOCABULARY, mu: float = 10.0) -> DataFrame:
     """Per row of docs: key, n_words, target_loss, background_loss, difference. docs are the background corpus."""
     if vocabulary > VOCABULARY:
@@ -61,7 +51,7 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
         for batch in batches:
             data, off = text_bytes(batch.column(0))
             side = batch.column(2).to_numpy()
-            for i, j in by_bytes(off, 8 * STEP):
+            for i, j in by_bytes(off, 16 * STEP):
                 low = LOWER[data[off[i] : off[j]]]
                 s, e, bound = words(low, off[i : j + 1] - off[i], SYMBOL)
                 h = word_hashes(low, s, e)
@@ -108,7 +98,7 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             serial += 1
             own = np.concatenate(owners).tobytes() if side == 0 else b""
-            out = [(int(bucket[a]), serial, side, squeeze(np.diff(row[a:b], prepend=0), pair[a:b], n[a:b]), own if a == 0 else b"") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            out = [(int(bucket[a]), serial, side, squeeze(np.diff(row[a:b], prepend=0), pair[a:b], n[a:b]), own if k == (serial + (serial >> 32)) % (len(cut) - 1) else b"") for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()))]
             held[side], rows[side] = [], 0
             if side == 0:
                 owners = []
@@ -124,7 +114,7 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
                 else:
                     d, o = data, off
                 own = batch.column(1).to_numpy().view(U8)[mine]
-                for i, j in by_bytes(o, STEP):
+                for i, j in by_bytes(o):
                     low = LOWER[d[o[i] : o[j]]]
                     s, e, bound = words(low, o[i : j + 1] - o[i], SYMBOL)
                     h = word_hashes(low, s, e)

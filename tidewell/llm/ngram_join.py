@@ -4,9 +4,9 @@ A text's set holds the 64-bit hashes of its distinct shingles. Texts of equal se
 under its smallest key. The steps:
 
 1. Screen. Two sets of at least the asked similarity share at least `level` of the smallest hashes of either, the first
-   n - ceil(t n) + level ones (n: set size, level: 0.15 n). Only these are shuffled, packed into one binary value for each
-   task and bucket, and each bucket counts in how many classes a hash occurs. In the order of that count, rarest first, two
-   similar sets then share one of the first n - ceil(t n) + 1; a class with as many hashes of its own is done.
+   n - ceil(t n) + level ones (n: set size, level: 0.15 n). A census counts how often each of these occurs. In the order of
+   that count, rarest first, two similar sets then share one of the first n - ceil(t n) + 1; a class with as many hashes of
+   its own is done.
 2. Candidate blocks. Each of those few hashes links its classes to the smallest of them; the components of these links
    are blocks, which between them hold every similar pair, and no pair within a group is written out.
 3. Join. A block's sets, their shingles ordered by how many sets of the block hold them, are the paths of a compressed
@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.census import Flush, census
 from tidewell.llm.common import U8, by_bytes, mix, parts, prepare, saved, shingle_sets, signed, text_bytes
 from tidewell.llm.components import components
-from tidewell.llm.packed import by_key, unpack
+from tidewell.llm.packed import expand, framed, squeeze, unframed
 
-#: Hashes that a task holds before it packs them.
-HELD = 1 << 20
+#: Hashes of a flush, about.
+HELD = 1 << 19
 
 
 def class_of(s: np.ndarray) -> int:
@@ -73,18 +74,21 @@ def trie_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         k = min(length[i - 1], length[i])
         differ = np.flatnonzero(paths[i - 1][:k] != paths[i][:k])
         lcp[i] = differ[0] if len(differ) else k
-    nodes: list[tuple] = []  # first and last path, depth above and below, smallest and largest set, longest path, children
+    # first and last path, values of the edge, depth below, smallest and largest set, longest path, inner children, leaves
+    nodes: list[tuple] = []
     stack = [(0, m, 0, -1)]
     while stack:
         lo, hi, top, parent = stack.pop()
         bottom = int(lcp[lo + 1 : hi].min()) if hi - lo > 1 else int(length[lo])
-        me, kids = len(nodes), []
-        nodes.append((lo, hi, paths[lo][top:bottom], bottom, int(size[lo:hi].min()), int(size[lo:hi].max()), int(length[lo:hi].max()), kids))
+        kids: list[int] = []
+        ends = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] == bottom)).tolist(), hi] if hi - lo > 1 else [lo]
+        one = np.array([a for a, b in zip(ends, ends[1:]) if b - a == 1 and length[a] > bottom], np.int64)
+        rest = [paths[a][bottom:] for a in one.tolist()]
+        starts = np.cumsum([0, *map(len, rest)])
+        stack += [(a, b, bottom, len(nodes)) for a, b in zip(ends, ends[1:]) if b - a > 1]
         if parent >= 0:
-            nodes[parent][7].append(me)
-        if hi - lo > 1:
-            ends = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] == bottom)).tolist(), hi]
-            stack += [(a, b, bottom, me) for a, b in zip(ends, ends[1:]) if b - a > 1 or length[a] > bottom]
+            nodes[parent][7].append(len(nodes))
+        nodes.append((lo, hi, paths[lo][top:bottom], bottom, int(size[lo:hi].min()), int(size[lo:hi].max()), int(length[lo:hi].max()), kids, one, np.concatenate(rest) if rest else None, starts))
     comp = np.arange(m)
     mask = np.zeros(max(1, len(uniq) - own), bool)
     need = lambda a, b: -(-num * (a + b) // (num + den))
@@ -94,7 +98,7 @@ def trie_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         walk = [(0, 0)]
         while walk:
             node, have = walk.pop()
-            lo, hi, part, bottom, smallest, largest, longest, kids = nodes[node]
+            lo, hi, part, bottom, smallest, largest, longest, kids, one, rest, starts = nodes[node]
             if hi <= q + 1 or largest * den < num * n or smallest * num > den * n or (comp[lo:hi] == comp[q]).all():
                 continue
             have += int(mask[part].sum())
@@ -103,38 +107,42 @@ def trie_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
                 if k > q and comp[k] != comp[q] and have >= need(n, int(size[k])):
                     comp[comp == comp[k]] = comp[q]
                 k += 1
-            left = len(mine) - (int(np.searchsorted(mine, part[-1], "right")) if len(part) else 0) if bottom else len(mine)
-            if kids and have + min(longest - bottom, left) >= need(n, smallest):
-                walk += [(x, have) for x in kids]
+            left = len(mine) - (int(np.searchsorted(mine, part[-1], "right")) if len(part) else 0)
+            if have + min(longest - bottom, left) < need(n, smallest):
+                continue
+            first = int(np.searchsorted(one, q + 1))
+            ahead = one[first:]
+            if len(ahead) and not (comp[ahead] == comp[q]).all():  # the leaves below, all at once
+                got = have + np.add.reduceat(mask[rest[starts[first] :]], starts[first:-1] - starts[first], dtype=np.int64)
+                for k in ahead[got >= need(n, size[ahead])].tolist():
+                    if comp[k] != comp[q]:
+                        comp[comp == comp[k]] = comp[q]
+            walk += [(x, have) for x in kids]
         mask[mine] = False
     out = np.empty(m, np.int64)
     out[order] = comp
     return out
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, width: int = 5, block: int = 2000) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, width: int = 5, block: int = 800) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id (the smallest key that links reach). num / den is the similarity."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    buckets = min(1 << 16, 2 * parts(spark))
+    buckets = 2 * parts(spark)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*text_bytes(batch.column(1)), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["id", "n", "cls"])
 
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Flush]:
         held: list[tuple[int, int, np.ndarray]] = []
         seen: set[int] = set()
         total = 0
 
-        def flush() -> pa.RecordBatch:
-            size = np.array([len(x) for _, _, x in held])
-            h = np.concatenate([x for _, _, x in held])
-            c = np.repeat(np.array([x for x, _, _ in held], np.int64).view(U8), size)
-            n = np.repeat(np.array([x for _, x, _ in held]), size)
-            out = list(by_key(((h & U8(0xFFFF)) % U8(buckets)).astype(np.int64), c, n, (h >> U8(16)) & U8(0xFFFFFFFF)))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "runs"])
+        def flush() -> Flush:
+            cls, n, size = np.array([x for x, _, _ in held], np.int64), np.array([x for _, x, _ in held]), np.array([len(x) for _, _, x in held])
+            return np.concatenate([x for _, _, x in held]), framed(cls.tobytes(), squeeze(n, size))
 
         for batch in batches:
             data, off = text_bytes(batch.column(1))
@@ -153,41 +161,22 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int =
         if held:
             yield flush()
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["bucket"].iloc[0])
-        cls, n, size, hashes = unpack(pdf["runs"].tolist(), 1)
-        _, first = np.unique(cls, return_index=True)  # equal classes have equal runs
-        start = np.cumsum(size.astype(np.int64)) - size
-        owner = np.repeat(first, size[first])
-        at = np.repeat(start[first] - (np.cumsum(size[first].astype(np.int64)) - size[first]), size[first]) + np.arange(int(size[first].sum()))
-        h = hashes[at]
-        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        df = times[back]
+    def rarest(kept: bytes, df: np.ndarray, token: np.ndarray) -> pd.DataFrame:
+        cls, rest = unframed(kept)
+        n, size = (x.astype(np.int64) for x in expand(rest, 2))
+        owner = np.repeat(np.arange(len(n)), size)
         shared = df > 1
-        c, h, df, n = cls[owner[shared]], h[shared], df[shared], n[owner[shared]]
-        out = list(by_key((mix(c) % U8(buckets)).astype(np.int64), c, n, h, df))
-        return pd.DataFrame({"part": [x for x, _ in out], "bucket": bucket, "runs": [x for _, x in out]})
-
-    def rarest(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [(int(b), *unpack([r], 2)) for b, r in zip(pdf["bucket"], pdf["runs"])]
-        c = np.concatenate([np.repeat(x[1], x[3]) for x in got])
-        n = np.concatenate([np.repeat(x[2], x[3]) for x in got]).astype(np.int64)
-        token = np.concatenate([x[4].astype(U8) | U8(x[0] << 32) for x in got])
-        df = np.concatenate([x[5] for x in got])
+        alone = size - np.bincount(owner[shared], minlength=len(n))  # hashes of the class alone come before
+        c, df, token = owner[shared], df[shared], token[shared]
         order = np.lexsort((token, df, c))
-        c, n, token = c[order], n[order], token[order]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        size = np.diff(np.append(first, len(c)))
-        nth = np.arange(len(c)) - np.repeat(first, size)
-        alone = n - least(n, num, den) + level(n) - np.repeat(size, size)  # hashes of the class alone come before
-        keep = nth < n - least(n, num, den) + 1 - alone
-        return pd.DataFrame({"token": signed(token[keep]), "cls": signed(c[keep])})
+        c, token = c[order], token[order]
+        first = np.searchsorted(c, np.arange(len(n)))
+        keep = np.arange(len(c)) - first[c] < (n - least(n, num, den) + 1 - alone)[c]
+        return pd.DataFrame({"token": signed(token[keep]), "cls": np.frombuffer(cls, np.int64)[c[keep]]})
 
     rows = saved(docs.mapInArrow(profile, "id long, n long, cls long"))
     reps = rows.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"))
-    packed = docs.where("id is not null").mapInArrow(screen, "bucket long, runs binary")
-    packed = packed.groupBy("bucket").applyInPandas(count, "part long, bucket long, runs binary")
-    tokens = saved(packed.groupBy("part").applyInPandas(rarest, "token long, cls long"))
+    tokens = saved(census(docs.where("id is not null"), prefixes, rarest, "token long, cls long", buckets))
     hub = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("times")).where("times > 1").select("token", "hub")
     near = tokens.join(hub, "token").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     blocks = components(near).select(F.col("id").alias("cls"), F.col("component").alias("block"))

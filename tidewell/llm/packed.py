@@ -1,40 +1,32 @@
-"""Many small values of many rows in a few binary ones, so that a shuffle moves blocks and numpy does the rest.
-
-A block holds runs: an owner (64 bits), a 32-bit number of the owner, how many values it has, and the columns of 32-bit
-values of all runs. by_key gives one block for each key; a task packs what it has read once it holds enough.
-"""
+"""Many small values in a few binary ones, so that a shuffle moves blocks and numpy does the rest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
 
 import numpy as np
+import zstandard
+
+
+def squeeze(*columns: np.ndarray, kind: str = "<u4") -> bytes:
+    """Columns of integers of one length, byte by byte of all values, compressed."""
+    wide = np.dtype(kind).itemsize
+    return zstandard.compress(b"".join([np.ascontiguousarray(c.astype(kind).view(np.uint8).reshape(-1, wide).T).tobytes() for c in columns]), 1)
+
+
+def expand(data: bytes, columns: int, kind: str = "<u4") -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, np.dtype(kind).itemsize, -1)
+    return [np.ascontiguousarray(p.T).view(kind).ravel() for p in planes]
+
+
+def framed(*parts: bytes) -> bytes:
+    return struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)) + b"".join(parts)
 
 
-def pack(cls: np.ndarray, n: np.ndarray, count: np.ndarray, *values: np.ndarray) -> bytes:
-    """Runs of 32-bit values, count of them for each class."""
-    return b"".join([np.array([len(cls)], "<u8").tobytes(), cls.astype("<u8").tobytes(), n.astype("<u4").tobytes(), count.astype("<u4").tobytes(), *(v.astype("<u4").tobytes() for v in values)])
-
-
-def unpack(blobs: list[bytes], width: int) -> list[np.ndarray]:
-    """Classes, sizes, counts and so many columns of values of all blobs."""
-    got: list[list[np.ndarray]] = [[] for _ in range(3 + width)]
-    for b in blobs:
-        r = int(np.frombuffer(b, "<u8", 1)[0])
-        got[0].append(np.frombuffer(b, "<u8", r, 8))
-        got[1].append(np.frombuffer(b, "<u4", r, 8 + 8 * r))
-        got[2].append(np.frombuffer(b, "<u4", r, 8 + 12 * r))
-        rest = np.frombuffer(b, "<u4", offset=8 + 16 * r)
-        for k, v in enumerate(np.split(rest, width)):
-            got[3 + k].append(v)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in got]
-
-
-def by_key(key: np.ndarray, cls: np.ndarray, n: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The values (one row of each for a class) packed for each key."""
-    order = np.lexsort((cls, key))
-    key, cls, n, values = key[order], cls[order], n[order], tuple(v[order] for v in values)
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        run = np.flatnonzero(np.concatenate([[True], cls[a + 1 : b] != cls[a : b - 1]]))
-        yield int(key[a]), pack(cls[a:b][run], n[a:b][run], np.diff(np.append(run, b - a)), *(v[a:b] for v in values))
+def unframed(data: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<Q", data)
+    out, at = [], 8 * (n + 1)
+    for size in struct.unpack_from(f"<{n}Q", data, 8):
+        out.append(data[at : at + size])
+        at += size
+    return out

@@ -2,12 +2,13 @@
 
 1. Anchors. Every window of `length` bytes has one anchor, its `gram`-byte string of least hash (the leftmost of equals).
    Equal windows have equal anchors, so windows that could be equal share an anchor string. Neighbouring windows of one
-   anchor form a context. Each task packs the hashes of its contexts and of their anchors for buckets.
-2. A bucket sees all contexts of an anchor. One that occurs alone holds no repeat. One whose equals occur is repeated
-   as a whole. Of the others, those that differ though they share an anchor, one of each kind must be compared.
+   anchor form a context. A census counts the anchors and the contexts of all texts by their hashes.
+2. A context that occurs again is repeated as a whole. One whose anchor has no other kind of context is unique or done.
+   Of the others, those that differ though they share an anchor, each kind must be compared.
 3. Those contexts, cut out of their texts, meet by anchor, and the difference-cover algorithm sorts the suffixes of each
    bucket: it sorts and names the triples at two of three places, recurses on the names, merges the remaining suffixes,
-   and compares neighbours by their whole first `length` bytes. Windows found equal are repeats.
+   and compares neighbours by their whole first `length` bytes. Windows found equal are repeats. An anchor that more than
+   `hot` contexts hold would fill a bucket; the windows of its contexts are counted by a second census instead.
 4. A text's repeats from 2 and 3 are joined with it and united into spans.
 
 Each distinct text takes part under its hash; a text that occurs more than once is a repeat as a whole, so a group of
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.census import Flush, census
 from tidewell.llm.common import U8, by_bytes, mix, parts, powers, prepare, saved, signed, string_hashes, sums, text_bytes
-from tidewell.llm.packed import by_key, unpack
+from tidewell.llm.packed import expand, framed, squeeze, unframed
 from tidewell.llm.suffixes import repeated
 
-#: Contexts that a task holds before it packs them.
-HELD = 300_000
+#: Contexts of a flush, about.
+HELD = 200_000
 _HALF = U8(0xFFFFFFFF)
 
 
@@ -81,25 +83,25 @@ def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[last]
 
 
-def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40, hot: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(h, copies) of every distinct text, and (h, spans) of those with repeats that are not copies of a whole text.
 
     h is the 64-bit hash of a text; spans holds the starts and ends of its repeats as little-endian 64-bit integers.
     """
     spark = prepare(docs.sparkSession)
     buckets = 2 * parts(spark)
+    fine = 8 * parts(spark)  # of contexts to sort, which need more memory for each byte
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     texts = saved(rows.groupBy("h").agg(F.count("*").alias("copies")))
 
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[Flush]:
         held: list[tuple] = []
         seen: set[int] = set()
         total = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Flush:
             doc, s, e, a, c = (np.concatenate(x) for x in zip(*held))
-            out = list(by_key((a % U8(buckets)).astype(np.int64), doc, np.zeros(len(doc), np.int64), a >> U8(32), a & _HALF, c >> U8(32), c & _HALF, s, e))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "runs"])
+            return np.concatenate([mix(a), mix(a + U8(3) * c)]), framed(squeeze(doc, kind="<u8"), squeeze(s, e))
 
         for batch in batches:
             own = batch.column(1).to_pylist()
@@ -108,7 +110,7 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
                 batch = batch.take(pa.array(keep, pa.int64()))
             data, off = text_bytes(batch.column(0))
             hashes = batch.column(1).to_numpy().view(U8)
-            for i, j in by_bytes(off, 1 << 21):
+            for i, j in by_bytes(off):
                 row, s, e, a, c = contexts(data[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
                 if len(row):
                     held.append((hashes[i + row], s, e, a, c))
@@ -121,57 +123,74 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
         if held:
             yield flush()
 
-    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, _, size, a1, a0, c1, c0, s, e = unpack(pdf["runs"].tolist(), 6)
-        doc = np.repeat(doc, size)
-        a, c = (a1.astype(U8) << U8(32)) | a0, (c1.astype(U8) << U8(32)) | c0
-        order = np.lexsort((s, doc, c, a))
-        doc, a, c, s, e = doc[order], a[order], c[order], s[order], e[order]
-        again = np.zeros(len(doc), bool)  # the same text in another task
-        again[1:] = (doc[1:] == doc[:-1]) & (s[1:] == s[:-1]) & (c[1:] == c[:-1]) & (a[1:] == a[:-1])
-        doc, a, c, s, e = doc[~again], a[~again], c[~again], s[~again], e[~again]
-        new_a = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
-        new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])[: len(a)]
-        of_a, of_c = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
-        kinds = np.bincount(of_a[new_c], minlength=int(of_a[-1]) + 1 if len(of_a) else 0)
-        twice = np.bincount(of_c)[of_c] > 1 if len(of_c) else np.zeros(0, bool)
-        ask = (kinds[of_a] > 1) & new_c  # the first of each kind
-        keep = twice | ask
-        key = (mix(doc) % U8(buckets)).astype(np.int64)
-        sign = twice.astype(np.int64) + 2 * ask
-        out = list(by_key(key[keep], doc[keep], np.zeros(int(keep.sum()), np.int64), s[keep], e[keep], sign[keep], (a >> U8(32))[keep], (a & _HALF)[keep]))
-        return pd.DataFrame({"part": [x for x, _ in out], "runs": [x for _, x in out]})
-
-    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, _, size, s, e, sign, a1, a0 = unpack(pdf["runs"].tolist(), 5)
-        doc, s, e = np.repeat(doc, size), s.astype(np.int64), e.astype(np.int64)
-        a = (a1.astype(U8) << U8(32)) | a0
+    def judged(kept: bytes, totals: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+        doc, rest = unframed(kept)
+        doc, (s, e) = expand(doc, 1, "<u8")[0], (x.astype(np.int64) for x in expand(rest, 2))
+        n = len(s)
+        of_a, of_c, a = totals[:n], totals[n:], keys[:n]
+        ask = of_a > of_c  # another context has this anchor
+        same = np.flatnonzero(ask & (of_c > 1))
+        ask[same] = False
+        ask[same[np.unique(keys[n:][same], return_index=True)[1]]] = True  # the first of each kind
+        sign = (of_c > 1) + 2 * ask + 4 * (ask & (of_a > hot))
         order = np.lexsort((s, doc))
+        order = order[sign[order] > 0]
         doc, s, e, sign, a = doc[order], s[order], e[order], sign[order], a[order]
         cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(0, np.int64)
         out = []
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            t = (sign[x:y] & 1) > 0
+            t, q, w = sign[x:y] & 1 > 0, sign[x:y] & 6 == 2, sign[x:y] & 4 > 0
             start, end = united(s[x:y][t], e[x:y][t] + length)
-            q = (sign[x:y] & 2) > 0
-            out.append((int(doc[x : x + 1].astype(U8).view(np.int64)[0]), np.stack([start, end], 1).astype("<i8").tobytes(), np.stack([s[x:y][q], e[x:y][q], signed(a[x:y][q])], 1).astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["h", "spans", "asked"]).astype({"h": "int64"})
+            asked = [np.stack([s[x:y][z], e[x:y][z], signed(a[x:y][z])], 1).astype("<i8").tobytes() for z in (q, w)]
+            out.append((int(doc[x : x + 1].view(np.int64)[0]), np.stack([start, end], 1).astype("<i8").tobytes(), *asked))
+        return pd.DataFrame(out, columns=["h", "spans", "asked", "hot"]).astype({"h": "int64"})
 
-    packed = rows.mapInArrow(anchored, "bucket long, runs binary").groupBy("bucket").applyInPandas(judged, "part long, runs binary")
-    known = saved(packed.groupBy("part").applyInPandas(gathered, "h long, spans binary, asked binary"))
+    known = census(rows, anchored, judged, "h long, spans binary, asked binary, hot binary", buckets)
+    # a text read by several tasks has a row of each, which may ask for different contexts
+    known = saved(known.groupBy("h").agg(F.first("spans").alias("spans"), F.collect_list("asked").alias("asked"), F.collect_list("hot").alias("hot")))
+
+    def asked_of(lists: list[bytes]) -> np.ndarray:
+        """First and last window start and anchor of the contexts asked for."""
+        return np.unique(np.frombuffer(b"".join(lists), "<i8").reshape(-1, 3), axis=0)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             out: list[tuple] = []
+            for i, (h, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if h not in seen:  # its other copies follow
+                    seen = {h}
+                    raw = data[off[i] : off[i + 1]].tobytes()
+                    out += [(a % fine, h, s, raw[s : e + length]) for s, e, a in asked_of(asked).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "h", "s", "bytes"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[Flush]:
+        """Every window of the contexts of hot anchors, under its own hash."""
+        seen: set[int] = set()
+        held: list[tuple] = []
+        for batch in batches:
+            data, off = text_bytes(batch.column(1))
             for i, (h, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 if h in seen:
                     continue
-                seen.add(h)
-                raw = data[off[i] : off[i + 1]].tobytes()
-                out += [(int(a % buckets), h, s, raw[s : e + length]) for s, e, a in zip(*(x.tolist() for x in (lambda y: (y[:, 0], y[:, 1], y[:, 2].view(U8)))(np.frombuffer(asked, "<i8").reshape(-1, 3).copy())))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "h", "s", "bytes"])
+                seen = {h}
+                raw = data[off[i] : off[i + 1]]
+                for s, e, _ in asked_of(asked).tolist():
+                    at = np.arange(e - s + 1)
+                    held.append((string_hashes(sums(raw[s : e + length]), at, at + length), np.full(len(at), h), s + at))
+                    if len(held) > HELD // 100:
+                        keys, doc, start = (np.concatenate(x) for x in zip(*held))
+                        yield keys, framed(squeeze(doc.view(U8), kind="<u8"), squeeze(start))
+                        held = []
+        if held:
+            keys, doc, start = (np.concatenate(x) for x in zip(*held))
+            yield keys, framed(squeeze(doc.view(U8), kind="<u8"), squeeze(start))
+
+    def often(kept: bytes, totals: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+        doc, start = unframed(kept)
+        doc, start = expand(doc, 1, "<u8")[0].view(np.int64), expand(start, 1)[0].astype(np.int64)
+        return pd.DataFrame({"h": doc[totals > 1], "s": start[totals > 1], "e": start[totals > 1] + length})
 
     def sorted_(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["h", "s"])
@@ -185,9 +204,14 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
         base = pdf["s"].to_numpy()[row] - (ends - size)[row]
         return pd.DataFrame({"h": pdf["h"].to_numpy()[row], "s": first + base, "e": got[last] + base + length})
 
-    asked = known.where(F.length("asked") > 0).join(texts, "h").select("h", "copies", "asked")
-    some = rows.join(asked, "h").select("h", "text", "asked").mapInArrow(cut_out, "bucket long, h long, s long, bytes binary")
-    more = some.groupBy("bucket").applyInPandas(sorted_, "h long, s long, e long")
+    def wanted(column: str) -> DataFrame:
+        """Texts, each once for a task, with the contexts asked for."""
+        some = known.where(F.exists(column, lambda x: F.length(x) > 0)).select("h", column)
+        return rows.join(some, "h").select("h", "text", column).sortWithinPartitions("h")
+
+    more = wanted("asked").mapInArrow(cut_out, "bucket long, h long, s long, bytes binary").groupBy("bucket").applyInPandas(sorted_, "h long, s long, e long")
+    if known.where(F.exists("hot", lambda x: F.length(x) > 0)).take(1):
+        more = more.union(census(wanted("hot"), windows, often, "h long, s long, e long", buckets))
     more = more.groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("more"))  # of one distinct text
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +226,13 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
     return texts, found
 
 
-def dedup(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40, carry: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40, hot: int = 50_000, carry: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, keep_text: bool = False) -> DataFrame:
     """Per row: the carried columns, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the kept text.
 
     With whole_characters a span that would cut a character in two keeps that character, so that the kept bytes are UTF-8;
     keep_text needs it.
     """
-    texts, found = spans(docs, text=text, length=length, gram=gram)
+    texts, found = spans(docs, text=text, length=length, gram=gram, hot=hot)
     df = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__h", F.xxhash64("__text"))
     info = texts.join(found, "h", "left").where("copies > 1 or spans is not null").select(F.col("h").alias("__h"), "copies", "spans")
     df = df.join(info, "__h", "left").select(*carry, "__text", F.col("copies").alias("__copies"), F.col("spans").alias("__spans"))
