@@ -23,11 +23,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.75 (operator 2): the one of smallest id.
 
-    Of rows with one id, one stays if they are in a group; rows without an id stay.
+    Of equal rows with one id one stays; different texts under one id, and rows without an id, stay.
     """
     prepare(spark)
     kept = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").select(*COLUMNS).union(docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    return docs.where("doc_id is null").select(*COLUMNS).union(docs.join(kept, "doc_id").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -538,6 +538,9 @@ def test_pipeline_edges(spark, edge):
         assert f(spark, edge, SF).count() > 0
         assert f(spark, edge.limit(0), SF).count() == 0
     assert c.quality_filter(spark, edge, SF).columns == list(c.COLUMNS)
+    rows = [(1, _base), (1, _base), (1, "another text of the same id"), (2, _base), (3, None), (None, _base), (None, _base)]
+    kept = Counter((r.doc_id, r.text) for r in c.near_copies(spark, documents(spark, rows), SF).collect())
+    assert kept == Counter([(1, _base), (1, rows[2][1]), (3, None), (None, _base), (None, _base)])
 
 
 def test_json_of_vocabulary():
