@@ -1,10 +1,11 @@
 """Near-duplicate embeddings: cross-polytope hashing after fast Hadamard rotations, multiprobe buckets, verified pairs.
 
 A table hashes a vector with `hashes` random rotations (three rounds of random signs and a fast Hadamard transform); each
-gives the signed axis nearest to the rotated vector. The vector goes into the bucket of these axes, and by multiprobing
-also into those with the second nearest axis in any place, so two vectors meet when any of their probes agree. All pairs
-of a bucket are verified by their cosine in double precision. A pair that meets more than once counts where it meets
-first. Pairs are never written out: a bucket gives each vector a count of its links and one neighbour to hold on to.
+gives the signed axis nearest to the rotated vector. These axes name the vector's bucket. By multiprobing a vector also
+looks into the buckets with the second nearest axis in any place, so two vectors meet when either looks into the other's
+bucket. All such pairs are verified by their cosine in double precision. A pair that meets more than once counts where it
+meets first. Pairs are never written out: a bucket gives each vector a count of its links and one neighbour to hold on to.
+Keys are shuffled first, and vectors only for buckets where some meet.
 
 Equal vectors form a class that takes part once and carries its count. Buckets above `block` classes are split into
 parts, and every pair of parts is a task of its own, so that a hot bucket is spread and nothing is dropped.
@@ -51,7 +52,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def probes(v: np.ndarray, tables: int, hashes: int, seed: int) -> np.ndarray:
-    """Keys of the rows' buckets: an array of rows by tables by 2 ** hashes."""
+    """Keys of the rows' buckets: an array of rows by tables by 2 ** hashes, of which the first are the nearest."""
     n, dim = v.shape
     d = 1 << max(1, dim - 1).bit_length()
     x = np.zeros((n, d))
@@ -64,42 +65,53 @@ def probes(v: np.ndarray, tables: int, hashes: int, seed: int) -> np.ndarray:
             y = x
             for _ in range(3):
                 y = hadamard(y * rng.choice([-1.0, 1.0], d))
-            near = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]  # the two nearest axes, in any order
+            near = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]
+            far = np.take_along_axis(np.abs(y), near, 1)
+            near = np.where((far[:, :1] >= far[:, 1:]), near, near[:, ::-1])  # the two nearest axes, the nearest first
             axis = (2 * near + (np.take_along_axis(y, near, 1) < 0)).astype(U8)
             keys = mix((keys[:, :, None] * U8(0x9E3779B97F4A7C15) + axis[:, None, :] + U8(1)).reshape(n, -1))
         out[:, t] = keys.view(np.int64)
     return out
 
 
-def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, tables: int = 5, hashes: int = 2, block: int = 2000, seed: int = 11) -> DataFrame:
+def keys_of(col: pa.Array, tables: int, hashes: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a list column, some at a time, and their probes; vectors of different lengths have different keys."""
+    size = np.asarray(col.value_lengths())
+    for dim in np.unique(size).tolist():
+        part = np.flatnonzero(size == dim)
+        for i in range(0, len(part), 2000):
+            yield part[i : i + 2000], probes(matrix(col.take(pa.array(part[i : i + 2000]))), tables, hashes, seed)
+
+
+def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, tables: int = 5, hashes: int = 3, block: int = 2000, seed: int = 11) -> DataFrame:
     """Per row: key, n_links (other rows whose vectors link directly), component_id, kept (key = component_id)."""
     spark = prepare(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v") if "float" in df.schema[vector].dataType.simpleString() else F.col(vector).cast("array<double>").alias("v"))
     hashed = F.struct(F.xxhash64("v"), F.hash("v"))
     rows = rows.withColumn("cls", F.when(usable("v") & F.col("id").isNotNull(), hashed))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("v", "id").alias("v"))
-    classes = saved(classes)
     slots = 4 * parts(spark)
-    shape = (tables, 1 << hashes)
+
+    def hashed_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes] = [b""] * len(batch)
+            for part, keys in keys_of(batch.column(3), tables, hashes, seed):
+                for i, k in zip(part.tolist(), keys.astype("<i8")):
+                    out[i] = k.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "keys"])
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(2)
-            size = np.asarray(col.value_lengths())
-            for dim in np.unique(size).tolist():
-                part = np.flatnonzero(size == dim)
-                for i in range(0, len(part), 2000):
-                    at = pa.array(part[i : i + 2000])
-                    keys = probes(matrix(col.take(at)), *[tables, hashes, seed]).reshape(len(at), -1)
-                    back = pa.array(np.repeat(part[i : i + 2000], keys.shape[1]))
-                    per = [k.astype("<i8").tobytes() for k in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(back), batch.column(1).take(back), col.take(back), pa.array(per, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), keys.shape[1])))], ["key", "rep", "n", "v", "keys"])
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(len(batch), -1)
+            own = np.zeros(keys.shape, bool)
+            own[:, :: 1 << hashes] = True
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), keys.shape[1]))), pa.array(own.ravel())], ["key", "rep", "own"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((pdf["rep"], pdf["high"], pdf["low"], pdf["key"]))
         pdf = pdf.iloc[order]
         key, low, high, rep, n = (pdf[c].to_numpy() for c in ("key", "low", "high", "rep", "n"))
-        part, vs, ks = pdf["i"].to_numpy(), pdf["v"].to_numpy(), pdf["keys"].to_numpy()
+        part, own, vs, ks = (pdf[c].to_numpy() for c in ("i", "own", "v", "keys"))
         cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
         links, to = np.zeros(len(key), np.int64), rep.copy()
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -109,19 +121,25 @@ def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosin
             v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
             link = v @ v.T >= cosine
             np.fill_diagonal(link, False)
+            link &= own[a:b, None] | own[None, a:b]
             if low[a] != high[a]:  # two parts of a large bucket: the pairs within a part are another task's
                 link &= part[a:b, None] != part[None, a:b]
             p, q = np.nonzero(np.triu(link))
             if not len(p):
                 continue
-            keys = np.stack([np.frombuffer(x, "<i8").reshape(shape) for x in ks[a:b]])
+            keys = np.stack([np.frombuffer(x, "<i8").reshape(tables, -1) for x in ks[a:b]])
             table = int(np.flatnonzero((keys[0] == key[a]).any(axis=1))[0])
-            for i in range(0, len(p), 50_000):  # a pair counts in the first bucket that it shares
+            for i in range(0, len(p), 50_000):  # a pair counts in the first bucket where it meets
                 x, y = p[i : i + 50_000], q[i : i + 50_000]
-                here = keys[x, table][:, :, None] == keys[y, table][:, None, :]
-                first = np.where(here.any(axis=2), keys[x, table], np.iinfo(np.int64).max).min(axis=1) == key[a]
-                for t in range(table):
-                    first &= ~(keys[x, t][:, :, None] == keys[y, t][:, None, :]).any(axis=(1, 2))
+                first = np.ones(len(x), bool)
+                for t in range(table + 1):
+                    into_x = (keys[y, t] == keys[x, t, :1]).any(axis=1)
+                    into_y = (keys[x, t] == keys[y, t, :1]).any(axis=1)
+                    if t < table:
+                        first &= ~(into_x | into_y)
+                    else:
+                        most = np.iinfo(np.int64).max
+                        first &= np.minimum(np.where(into_x, keys[x, t, 0], most), np.where(into_y, keys[y, t, 0], most)) == key[a]
                 np.add.at(links, a + x[first], n[a + y[first]])
                 np.add.at(links, a + y[first], n[a + x[first]])
             mine = rep[a:b]
@@ -129,10 +147,11 @@ def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosin
         got = (links > 0) | (to != rep)
         return pd.DataFrame({"rep": rep[got], "links": links[got], "to": to[got]})
 
-    pairs = classes.select("rep", "n", "v").mapInArrow(buckets, f"key long, rep long, n long, v {rows.schema['v'].dataType.simpleString()}, keys binary")
-    large = pairs.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / block).alias("k"))
-    pairs = pairs.join(large, "key").withColumn("i", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cast(k as int) - 1)")))
-    pairs = pairs.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "rep", "n", "v", "keys")
+    classes = saved(classes.mapInArrow(hashed_classes, f"{', '.join(f'{c} {t}' for c, t in classes.dtypes)}, keys binary"))
+    pairs = classes.select("rep", "keys").mapInArrow(buckets, "key long, rep long, own boolean")
+    met = pairs.groupBy("key").agg(F.count("*").alias("m"), F.count_if("own").alias("own")).where("m > 1 and own > 0").select("key", F.ceil(F.col("m") / block).alias("k"))
+    pairs = pairs.join(met, "key").withColumn("i", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cast(k as int) - 1)")))
+    pairs = pairs.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "own", "rep").join(classes.select("rep", "n", "v", "keys"), "rep")
     found = saved(pairs.groupBy(F.pmod(F.xxhash64("key", "low", "high"), F.lit(slots)).alias("slot")).applyInPandas(verify, "rep long, links long, to long"))
     comp = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "rep")
     per = found.groupBy("rep").agg(F.sum("links").alias("links"))
