@@ -234,6 +234,14 @@ def test_trie_against_all_pairs():
         assert len(set(zip(got.tolist(), comp))) == len(set(comp)) == len(set(got.tolist()))
 
 
+def test_least_by_hash(spark):
+    from tidewell.llm.common import least_by_hash
+
+    for n, k in ((10, 20), (5_000, 300), (50_000, 40)):
+        df = spark.range(n)
+        assert {r.id for r in least_by_hash(df, "id", k).collect()} == {r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(k).collect()}
+
+
 def test_census(spark):
     import pandas as pd
 

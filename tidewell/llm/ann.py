@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import parts, prepare, saved
+from tidewell.llm.common import least_by_hash, parts, prepare, saved
 from tidewell.llm.near_embed import matrix, usable
 
 
@@ -104,7 +104,7 @@ def search(base: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector:
     facts = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0d, (s, x) -> s + x * x)")).alias("norm")).orderBy(F.desc("n"), "dim").first()
     dim, n = (facts["dim"], facts["n"]) if facts else (1, 0)
     classes = classes.where(F.size("v") == dim)
-    fitted = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()["v"]
+    fitted = least_by_hash(classes, "rep", sample).select("v").toPandas()["v"]
     forest = Forest(np.array([np.asarray(x) for x in fitted]).reshape(len(fitted), dim), float(np.sqrt(facts["norm"])) if facts else 0.0, trees, max(0, min(depth, int(np.log2(max(1, min(n, sample) / 64))))), seed)
     model = spark.sparkContext.broadcast(forest)
     most = max(1, int(np.ceil(share * forest.trees * (forest.inner + 1))))

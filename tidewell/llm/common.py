@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.session import importable
 
@@ -42,6 +43,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def least_by_hash(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows whose keys have the least hashes; keys are distinct.
+
+    Only rows whose hashes lie below a bound that about 2 k rows pass are sorted, so that tasks don't each send k rows.
+    """
+    h, n = F.xxhash64(key), df.count()
+    if n > 2 * k + 1000:
+        df = df.where(h < int((2 * k + 1000) / n * 2.0**64 - 2.0**63))
+    return df.orderBy(h, key).limit(k)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SYMBOL, U8, by_bytes, mix, prepare, string_hashes, sums, text_bytes
+from tidewell.llm.common import SYMBOL, U8, by_bytes, least_by_hash, mix, prepare, string_hashes, sums, text_bytes
 
 #: Rows that training reads at most, and places of the weights as a power of two.
 SAMPLE, BITS = 12_000, 18
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Weights (little-endian 32-bit floats) and bias, learned from at most sample rows of labels whose fold is not 0."""
     prepare(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & (fold(F.col(key)) != 0)).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample)
+    chosen = least_by_hash(chosen, key, sample)
     rows = docs.select(key, text).join(F.broadcast(chosen), key).select(F.xxhash64(key).alias("at"), text, "__y")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
