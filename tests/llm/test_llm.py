@@ -321,6 +321,26 @@ def test_near_embeddings(spark, block):
     assert near_embed.near(vectors(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [2000, 5])
+def test_near_embeddings_star(spark, block):
+    # four groups on a circle, each of a centre with the largest id and two that link to it and not to each other
+    at = [(3 * k + i, math.radians(90 * k + 10 + turn)) for k in range(4) for i, turn in ((1, -17), (2, 17), (3, 0))]
+    got = {r.vec_id: r for r in near_embed.near(vectors(spark, [(i, [math.cos(a), math.sin(a)]) for i, a in at]), block=block).collect()}
+    assert [got[i].n_links for i in range(1, 13)] == [1, 1, 2] * 4
+    assert all(got[i].component_id == i - (i - 1) % 3 and got[i].kept == (i % 3 == 1) for i in range(1, 13))
+
+
+def test_reach():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 9, 60):
+        link = np.triu(rng.random((n, n)) < 1.2 / n, 1)
+        link |= link.T
+        first = np.arange(n)
+        for _ in range(n):
+            first = np.minimum(first, np.where(link, first[None, :], n).min(axis=1))
+        assert near_embed.reach(link).tolist() == first.tolist()
+
+
 def test_neighbours(spark):
     rows = cloud(2, 1500)
     rows += [(2000 + i, rows[49][1]) for i in range(40)]

@@ -4,7 +4,8 @@ A table hashes a vector with `hashes` random rotations (three rounds of random s
 gives the signed axis nearest to the rotated vector. These axes name the vector's bucket. By multiprobing a vector also
 looks into the buckets with the second nearest axis in any place, so two vectors meet when either looks into the other's
 bucket. All such pairs are verified by their cosine in double precision. A pair that meets more than once counts where it
-meets first. Pairs are never written out: a bucket gives each vector a count of its links and one neighbour to hold on to.
+meets first. Pairs are never written out: a bucket gives each vector a count of its links and the smallest vector that the
+bucket's links reach from it, so that these edges have the components of all links.
 Keys are shuffled first, and vectors only for buckets where some meet.
 
 Equal vectors form a class that takes part once and carries its count. Buckets above `block` classes are split into
@@ -83,6 +84,21 @@ def keys_of(col: pa.Array, tables: int, hashes: int, seed: int) -> Iterator[tupl
             yield part[i : i + 2000], probes(matrix(col.take(pa.array(part[i : i + 2000]))), tables, hashes, seed)
 
 
+def reach(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the first row that links reach from it, itself if none; a row is read once."""
+    first = np.arange(len(link))
+    left = link.any(axis=1)
+    for k in np.flatnonzero(left).tolist():
+        if left[k]:
+            left[k] = False
+            edge = np.array([k])
+            while len(edge):
+                edge = np.flatnonzero(link[edge].any(axis=0) & left)
+                left[edge] = False
+                first[edge] = k
+    return first
+
+
 def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, tables: int = 5, hashes: int = 3, block: int = 2000, seed: int = 11) -> DataFrame:
     """Per row: key, n_links (other rows whose vectors link directly), component_id, kept (key = component_id)."""
     spark = prepare(df.sparkSession)
@@ -142,8 +158,7 @@ def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosin
                         first &= np.minimum(np.where(into_x, keys[x, t, 0], most), np.where(into_y, keys[y, t, 0], most)) == key[a]
                 np.add.at(links, a + x[first], n[a + y[first]])
                 np.add.at(links, a + y[first], n[a + x[first]])
-            mine = rep[a:b]
-            to[a:b] = np.minimum(mine, np.where(link, mine[None, :], np.iinfo(np.int64).max).min(axis=1))
+            to[a:b] = rep[a + reach(link)]
         got = (links > 0) | (to != rep)
         return pd.DataFrame({"rep": rep[got], "links": links[got], "to": to[got]})
 
