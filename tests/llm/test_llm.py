@@ -486,6 +486,20 @@ def test_lm_score(spark, edge):
     assert lm_score.score(edge.limit(0), edge.select("text").limit(0)).count() == 0
 
 
+def test_lm_score_keeps_every_word(spark):
+    # more distinct words than 16-bit numbers, the rare ones told apart by their bigrams, in several flushes
+    n = 70_000
+    rows = [" ".join(f"w{k} w{k}" if k % 3 else f"w{k} w{(k + 7) % n}" for k in range(i, i + 100)) for i in range(0, n, 100)]
+    rows += [f"w{k} w{k + 1}" for k in range(0, 300, 5)] + ["w5 w6"] * 3
+    target = [f"w{k} w{k} w{k + 1}" for k in range(1, n, 700)]
+    got = lm_score.score(documents(spark, list(enumerate(rows))), spark.createDataFrame([(t,) for t in target], "text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(rows)))
+    t, b = bigram_losses(rows, [target, rows])
+    for r in got:
+        assert r.n_words == len(rows[r.doc_id].split())
+        assert math.isclose(r.target_loss, t[r.doc_id], rel_tol=1e-9) and math.isclose(r.background_loss, b[r.doc_id], rel_tol=1e-9)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 200, None, "who"), (None, 1, "ann", "x"), (2, 1, "system", "alone"), (3, None, "an n", "y")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, seq int, head string")

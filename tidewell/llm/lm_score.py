@@ -1,21 +1,22 @@
 """LM scoring by cross-entropy difference: bigram models of a target and of a background corpus over one vocabulary.
 
-The vocabulary is the most frequent words of both corpora together, at most `vocabulary` of them; words that tie at the
-cut stay out together. All others are one unknown word, and a text starts with a start symbol. Each model counts every word and bigram of its whole corpus:
+The vocabulary is all V - 1 words of both corpora and one unknown word, and a text starts with a start symbol. Each model
+counts every word and bigram of its whole corpus:
 
     p(w) = (c(w) + 1) / (N + V),   p(w | u) = (c(u w) + mu p(w)) / (c(u) + mu)
 
 A text's losses are the means over its words of -ln p under either model, and its score is their difference, target less
 background: the smaller, the more it is like the target.
 
-Word counts are summed before they are shuffled. The bigrams of some thousand texts, with their counts, are packed for
-buckets, which count them in both corpora and send each text's share of the losses back to where its texts' shares meet;
-what is shuffled grows with the input. Only the vocabulary and its counts, of a fixed size, are broadcast. Losses of a
-bucket travel as 32-bit floats. Texts take part under their hash, so that copies share a result.
+Words and bigrams are 64-bit hashes, and nothing grows with the vocabulary but what is shuffled. The distinct words and
+bigrams of some thousand texts of one corpus, a flush, go with their counts to buckets, which add them up for both corpora
+and send each flush of the background its totals. There they meet the flush's words, which travel with one of its blocks,
+and the losses are summed in double precision. Only V, N and the numbers of texts reach the driver. Texts take part under
+their hash, so that copies share a result.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case. Handled cases: null and empty texts
 have no words and null losses; an empty target leaves a uniform target model; repeated rows count each time in the corpora;
-an empty table gives no rows; other columns are not read.
+an empty table gives no rows; other columns are not read. Results are exact but for collisions of hashes.
 """
 
 from __future__ import annotations
@@ -29,21 +30,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, STEP, SYMBOL, U8, by_bytes, mix, parts, prepare, saved, signed, text_bytes, word_hashes, words
-from tidewell.llm.packed import expand, squeeze
+from tidewell.llm.common import LOWER, STEP, SYMBOL, U8, by_bytes, mix, parts, prepare, signed, text_bytes, word_hashes, words
+from tidewell.llm.packed import expand, framed, squeeze, unframed
 
-#: Words of the vocabulary at most; 0 is the unknown word and 65535 the start.
-VOCABULARY = 65_534
+#: Words of a flush, about.
 HELD = 1 << 19
-_START = 65_535
+_START = U8(0x8EBC6AF09C88C6E3)
 
 
-def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", target_text: str = "text", vocabulary: int = VOCABULARY, mu: float = 10.0) -> DataFrame:
+def grams(known: np.ndarray, ids: np.ndarray, length: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Of texts of so many words, given by their places in known: keys of the words and distinct bigrams, their order by
+    bucket, the bounds of the buckets in it, each bigram's two words (the start is 0, known begins at 1), each word's bigram."""
+    prev = np.concatenate([[0], ids[:-1] + 1])
+    prev[np.cumsum(length) - length] = 0
+    code, of = np.unique((prev << 32) | (ids + 1), return_inverse=True)
+    u, w = code >> 32, code & 0xFFFFFFFF
+    hashes = np.concatenate([[_START], known])
+    keys = np.concatenate([known, mix(mix(hashes[u]) * U8(0x9E3779B97F4A7C15) + hashes[w] * U8(0xC2B2AE3D27D4EB4F) + U8(1))])
+    bucket = (keys % U8(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    return keys, order, np.searchsorted(bucket[order], np.arange(buckets + 1)), u, w, of
+
+
+def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", target_text: str = "text", mu: float = 10.0) -> DataFrame:
     """Per row of docs: key, n_words, target_loss, background_loss, difference. docs are the background corpus."""
-    if vocabulary > VOCABULARY:
-        raise ValueError(f"at most {VOCABULARY} words")
     spark = prepare(docs.sparkSession)
-    buckets = parts(spark)
+    buckets = 2 * parts(spark)
     pick = lambda df, c: df.select(F.coalesce(F.col(c), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     both = pick(docs, text).withColumn("side", F.lit(0)).union(pick(target, target_text).withColumn("side", F.lit(1)))
 
@@ -60,117 +72,81 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
                     w, n = np.unique(h[of == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(n if k == 0 else 0 * n), pa.array(n if k else 0 * n)], ["w", "b", "t"])
 
-    counts = both.mapInArrow(counted, "w long, b long, t long").groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).withColumn("n", F.col("b") + F.col("t"))
-    counts = saved(counts)
-    least, held = 0, 0
-    for n, k in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():  # ends within the vocabulary
-        held += k
-        if held > vocabulary:
-            least = n
-            break
-    top = counts.where(F.col("n") > least).orderBy(F.desc("n"), "w").toPandas()  # of a bounded size
-    all_b, all_t = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    texts_b, texts_t = both.agg(F.coalesce(F.sum(1 - F.col("side")), F.lit(0)), F.coalesce(F.sum("side"), F.lit(0))).first()
-    hashes = top["w"].to_numpy().astype(np.int64).view(U8)
-    order = np.argsort(hashes)
-    known, number = hashes[order], order + 1  # the most frequent word is 1, so numbers are small and pack well
-    size = len(known) + 1
-    once = np.zeros((2, 65_536))
-    for k, (c, total, texts) in enumerate((("b", all_b, texts_b), ("t", all_t, texts_t))):
-        once[k, 1:size] = top[c].to_numpy()
-        once[k, 0] = total - once[k, 1:size].sum()
-        once[k, _START] = texts
-    shared = spark.sparkContext.broadcast((known, number, once, size))
+    counts = both.mapInArrow(counted, "w long, b long, t long").groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    distinct, *total = counts.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    texts = both.agg(F.coalesce(F.sum(1 - F.col("side")), F.lit(0)), F.coalesce(F.sum("side"), F.lit(0))).first()
+    size = distinct + 1
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = shared.value[:2]
         serial = TaskContext.get().partitionId() << 32
-        held: list[list[tuple]] = [[], []]  # of each side
-        owners: list[np.ndarray] = []
-        rows = [0, 0]
+        held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]  # of each side
 
         def flush(side: int) -> pa.RecordBatch:
-            nonlocal serial, owners
-            row, pair, n = (np.concatenate(x) for x in zip(*held[side]))
-            bucket = (mix(pair.astype(U8)) % U8(buckets)).astype(np.int64)
-            order = np.lexsort((pair, row, bucket))
-            row, pair, n, bucket = row[order], pair[order], n[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            nonlocal serial
+            h, length, own = (np.concatenate(x) for x in zip(*held[side]))
+            held[side] = []
+            known, ids, n = np.unique(h, return_inverse=True, return_counts=True)
+            by = np.argsort(-n, kind="stable")  # places of frequent words are small and pack well
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            known, n, ids = known[by], n[by], place[ids]
+            keys, order, ends, _, _, of = grams(known, ids, length, buckets)
+            n = np.concatenate([n, np.bincount(of)])[order]
+            keys = keys[order]
+            full = [(k, a, b) for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if b > a]
+            kept = framed(known.tobytes(), squeeze(ids), squeeze(length), own.tobytes()) if side == 0 else b""
             serial += 1
-            own = np.concatenate(owners).tobytes() if side == 0 else b""
-            out = [(int(bucket[a]), serial, side, squeeze(np.diff(row[a:b], prepend=0), pair[a:b], n[a:b]), own if k == (serial + (serial >> 32)) % (len(cut) - 1) else b"") for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()))]
-            held[side], rows[side] = [], 0
-            if side == 0:
-                owners = []
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "flush", "side", "runs", "owners"])
+            out = [(k, serial, side, framed(squeeze(keys[a:b], kind="<u8"), squeeze(n[a:b])), kept if i == (serial + (serial >> 32)) % len(full) else b"") for i, (k, a, b) in enumerate(full)]
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "flush", "side", "counts", "kept"])
 
         for batch in batches:
-            data, off = text_bytes(batch.column(0))
             sides = batch.column(2).to_numpy()
             for side in np.unique(sides).tolist():
                 mine = np.flatnonzero(sides == side)
-                if len(mine) < len(sides):
-                    d, o = text_bytes(batch.column(0).take(pa.array(mine)))
-                else:
-                    d, o = data, off
+                d, o = text_bytes(batch.column(0).take(pa.array(mine)) if len(mine) < len(sides) else batch.column(0))
                 own = batch.column(1).to_numpy().view(U8)[mine]
                 for i, j in by_bytes(o):
                     low = LOWER[d[o[i] : o[j]]]
                     s, e, bound = words(low, o[i : j + 1] - o[i], SYMBOL)
-                    h = word_hashes(low, s, e)
-                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                    ids = np.where(known[at] == h, number[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                    prev = np.concatenate([[_START], ids[:-1]])[: len(ids)]
-                    prev[bound[:-1][np.diff(bound) > 0]] = _START
-                    row = rows[side] + np.repeat(np.arange(j - i), np.diff(bound))
-                    code, n = np.unique((row << 32) | (prev << 16) | ids, return_counts=True)
-                    if side == 0:
-                        owners.append(own[i:j])
-                    rows[side] += j - i
-                    held[side].append((code >> 32, code & 0xFFFFFFFF, n))
+                    length = np.diff(bound)
+                    if len(s):
+                        held[side].append((word_hashes(low, s, e), length[length > 0], own[i:j][length > 0]))
                     if sum(len(x[0]) for x in held[side]) > HELD:
                         yield flush(side)
         for side in (0, 1):
-            if sum(len(x[0]) for x in held[side]):
+            if held[side]:
                 yield flush(side)
 
-    def losses(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, once, size = shared.value
-        got = [expand(x, 3) for x in pdf["runs"]]
-        length = [len(x[0]) for x in got]
-        pair, n = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
-        side = np.repeat(pdf["side"].to_numpy(), length)
-        codes, back = np.unique(pair, return_inverse=True)
-        u, w = (codes >> 16).astype(np.int64), (codes & 0xFFFF).astype(np.int64)
-        loss = []
-        for k in (1, 0):
-            c = np.bincount(back, np.where(side == k, n, 0), minlength=len(codes))
-            one = (once[k] + 1) / (once[k][:size].sum() + size)
-            loss.append(-np.log((c + mu * one[w]) / (once[k][u] + mu)))
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [unframed(x) for x in pdf["counts"]]
+        keys = [expand(x, 1, "<u8")[0] for x, _ in got]
+        length = [len(x) for x in keys]
+        _, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n, side = np.concatenate([expand(x, 1)[0] for _, x in got]), np.repeat(pdf["side"].to_numpy(), length)
+        sums = [np.bincount(back, np.where(side == k, n, 0)).astype(U8) for k in (0, 1)]
         out, at = [], 0
-        for x, m, flush, of, owners in zip(got, length, pdf["flush"], pdf["side"], pdf["owners"]):
+        for m, bucket, flush, of, kept in zip(length, pdf["bucket"], pdf["flush"], pdf["side"], pdf["kept"]):
             if of == 0:
-                row, k = np.unique(np.cumsum(x[0].astype(np.int64)), return_inverse=True)
-                b, c = back[at : at + m], n[at : at + m].astype(np.float64)
-                t, v, s = (np.bincount(k, y, minlength=len(row)) for y in (c * loss[0][b], c * loss[1][b], c))
-                out.append((flush, squeeze(np.diff(row, prepend=0), t.astype(np.float32).view(np.uint32), v.astype(np.float32).view(np.uint32), s), owners))
+                out.append((bucket, flush, squeeze(*(x[back[at : at + m]] for x in sums), kind="<u8"), kept))
             at += m
-        return pd.DataFrame(out, columns=["flush", "runs", "owners"]).astype({"flush": "int64"})
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.frombuffer(b"".join(pdf["owners"]), np.uint64)
-        t, b, n = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(h), np.int64)
-        for x in pdf["runs"]:
-            row, tt, bb, nn = expand(x, 4)
-            row = np.cumsum(row.astype(np.int64))
-            t[row] += tt.view(np.float32)
-            b[row] += bb.view(np.float32)
-            n[row] += nn
-        return pd.DataFrame({"h": signed(h), "t": t, "b": b, "n": n})
-
-    per = both.mapInArrow(packed, "bucket long, flush long, side int, runs binary, owners binary").groupBy("bucket").applyInPandas(losses, "flush long, runs binary, owners binary")
-    per = per.groupBy("flush").applyInPandas(summed, "h long, t double, b double, n long").where("n > 0").groupBy("h").agg(*[F.sum(c).alias(c) for c in "tbn"])
-    copies = both.where("side = 0").groupBy("h").agg(F.count("*").alias("copies"))
-    per = per.join(copies, "h").select("h", (F.col("n") / F.col("copies")).cast("long").alias("n_words"), (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss"))
+        return pd.DataFrame(out, columns=["bucket", "flush", "totals", "kept"]).astype({"bucket": "int64", "flush": "int64"})
+
+    def losses(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket")
+        known, ids, length, own = unframed(b"".join(pdf["kept"]))
+        known, length = np.frombuffer(known, U8), expand(length, 1)[0].astype(np.int64)
+        _, order, _, u, w, of = grams(known, expand(ids, 1)[0].astype(np.int64), length, buckets)
+        got = [expand(x, 2, "<u8") for x in pdf["totals"]]
+        row, out = np.repeat(np.arange(len(length)), length), []
+        for k in (0, 1):
+            c = np.empty(len(order))
+            c[order] = np.concatenate([x[k] for x in got])
+            one, two = np.concatenate([[texts[k]], c[: len(known)]]), c[len(known) :]
+            loss = -np.log((two + mu * (one[w] + 1) / (total[k] + size)) / (one[u] + mu))
+            out.append(np.bincount(row, loss[of]) / length)
+        return pd.DataFrame({"h": np.frombuffer(own, np.int64), "n": length, "t": out[1], "b": out[0]})
+
+    per = both.mapInArrow(packed, "bucket long, flush long, side int, counts binary, kept binary").groupBy("bucket").applyInPandas(added, "bucket long, flush long, totals binary, kept binary")
+    per = per.groupBy("flush").applyInPandas(losses, "h long, n long, t double, b double").groupBy("h").agg(*[F.min(c).alias(c) for c in "ntb"])
     out = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).join(per, "h", "left")
-    return out.select(key, F.coalesce("n_words", F.lit(0)).alias("n_words"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
+    return out.select(key, F.coalesce("n", F.lit(0)).alias("n_words"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("t") - F.col("b")).alias("difference"))
