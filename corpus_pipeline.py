@@ -23,11 +23,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.75 (operator 2): the one of smallest id.
 
-    Of equal rows with one id one stays; different texts under one id, and rows without an id, stay.
+    Of equal rows with one id one stays. Different texts under one id stay or go each with its own group; of a group all
+    texts under its smallest id stay, and so do rows without an id.
     """
     prepare(spark)
-    kept = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").select(*COLUMNS).union(docs.join(kept, "doc_id").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*COLUMNS))
+    kept = ngram_join.join(docs, hashed=True).where("doc_id = component_id").select("doc_id", F.col("text_hash").alias("__text")).distinct()
+    return docs.where("doc_id is null").select(*COLUMNS).union(docs.withColumn("__text", F.xxhash64("text")).join(kept, ["doc_id", "__text"]).dropDuplicates(["doc_id", "__text"]).select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,23 @@ def test_ngram_join_edges(spark, edge):
     assert ngram_join.join(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [800, 2])
+def test_different_texts_under_one_id(spark, block):
+    from corpus_pipeline import near_copies
+
+    # of each three texts the second resembles the others, which don't resemble each other; two of them share an id
+    rng, rows = random.Random(12), []
+    for k in range(8):
+        b = [f"g{k}n{i}" for i in range(100)]
+        a, c = [f"a{k}n{i}" for i in range(9)] + b[9:], b[:91] + [f"c{k}n{i}" for i in range(9)]
+        both = [(10 * k + 5, " ".join(a)), (10 * k + 5, " ".join(b))]
+        rows += [*(both if k % 2 else both[::-1]), (10 * k + 7, " ".join(c)), (10 * k + 7, f"clean {prose(40, rng)}")]
+    got = Counter(map(tuple, ngram_join.join(documents(spark, rows), block=block).select("doc_id", "component_id").collect()))
+    assert got == {(10 * k + i, 10 * k + c): n for k in range(8) for i, c, n in ((5, 5, 2), (7, 5, 1), (7, 7, 1))}
+    kept = near_copies(spark, documents(spark, rows), SF).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter(r for i, r in enumerate(rows) if i % 4 != 2)
+
+
 def test_trie_against_all_pairs():
     rng = random.Random(8)
     for _ in range(60):

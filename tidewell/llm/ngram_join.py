@@ -1,7 +1,7 @@
 """N-gram Jaccard join: which texts share at least a given part of their word shingles, found with prefix trees.
 
-A text's set holds the 64-bit hashes of its distinct shingles. Texts of equal sets form a class, which takes part once,
-under its smallest key. The steps:
+A text's set holds the 64-bit hashes of its distinct shingles. Texts of equal sets form a class, which takes part once;
+different texts under one key are classes of their own, and a group's component is the smallest key of its classes. The steps:
 
 1. Screen. Two sets of at least the asked similarity share at least `level` of the smallest hashes of either, the first
    n - ceil(t n) + level ones (n: set size, level: 0.15 n). A census counts how often each of these occurs. In the order of
@@ -124,16 +124,16 @@ def trie_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return out
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, width: int = 5, block: int = 800) -> DataFrame:
-    """Per row of docs: key, n_shingles, component_id (the smallest key that links reach). num / den is the similarity."""
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, width: int = 5, block: int = 800, hashed: bool = False) -> DataFrame:
+    """Per row of docs: key, n_shingles, component_id (the smallest key that links reach), with hashed text_hash (xxhash64). num / den is the similarity."""
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     buckets = 2 * parts(spark)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*text_bytes(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["id", "h", "n", "cls"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Flush]:
         held: list[tuple[int, int, np.ndarray]] = []
@@ -174,8 +174,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int =
         keep = np.arange(len(c)) - first[c] < (n - least(n, num, den) + 1 - alone)[c]
         return pd.DataFrame({"token": signed(token[keep]), "cls": np.frombuffer(cls, np.int64)[c[keep]]})
 
-    rows = saved(docs.mapInArrow(profile, "id long, n long, cls long"))
-    reps = rows.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"))
+    rows = saved(docs.mapInArrow(profile, "id long, h long, n long, cls long"))
+    reps = rows.where("cls is not null and id is not null").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("m")).select("cls", F.col("m.id").alias("rep"), F.col("m.h").alias("h"))
     tokens = saved(census(docs.where("id is not null"), prefixes, rarest, "token long, cls long", buckets))
     hub = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("times")).where("times > 1").select("token", "hub")
     near = tokens.join(hub, "token").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
@@ -186,20 +186,21 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int =
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = shingle_sets(*text_bytes(batch.column(3)), width)
-            keep = pa.array([class_of(x) == c for x, c in zip(got, batch.column(2).to_pylist())], pa.bool_())  # a repeated key may have another text
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in got], pa.binary())], ["block", "rep", "hashes"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in got], pa.binary())], ["block", "rep", "cls", "hashes"])
 
     def similar(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep").drop_duplicates("rep")
-        ids = pdf["rep"].to_numpy()
+        pdf = pdf.drop_duplicates("cls").sort_values(["rep", "cls"])  # equal rows
+        ids = pdf["cls"].to_numpy()
         comp = trie_components([np.frombuffer(x, "<u8") for x in pdf["hashes"]], num, den)
         _, first, back = np.unique(comp, return_index=True, return_inverse=True)
         to = ids[first[back]]
         return pd.DataFrame({"a": ids[to != ids], "b": to[to != ids]})
 
-    full = docs.join(members.withColumnRenamed("rep", "id"), "id").select("block", F.col("id").alias("rep"), "cls", "text").mapInArrow(sets, "block long, rep long, hashes binary")
-    full = full.join(split, "block").withColumn("i", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cast(k as int) - 1)")))
+    full = docs.join(members.withColumnRenamed("rep", "id"), ["id", "h"]).select("block", F.col("id").alias("rep"), "cls", "text").mapInArrow(sets, "block long, rep long, cls long, hashes binary")
+    full = full.join(split, "block").withColumn("i", F.pmod(F.xxhash64("cls"), "k").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cast(k as int) - 1)")))
     links = full.groupBy("block", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")).applyInPandas(lambda pdf: similar(pdf), "a long, b long")
-    found = components(links).withColumnRenamed("id", "rep")
-    of_class = reps.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    return rows.join(of_class, "cls", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    found = components(links).withColumnRenamed("id", "cls")
+    smallest = found.join(reps, "cls").groupBy("component").agg(F.min("rep").alias("least"))
+    of_class = reps.join(found.join(smallest, "component"), "cls", "left").select("cls", F.coalesce("least", "rep").alias("component"))
+    out = rows.join(of_class, "cls", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), F.col("h").alias("text_hash"))
+    return out if hashed else out.drop("text_hash")
