@@ -347,6 +347,20 @@ def test_near_embeddings_star(spark, block):
     assert all(got[i].component_id == i - (i - 1) % 3 and got[i].kept == (i % 3 == 1) for i in range(1, 13))
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+def test_near_embeddings_at_the_bound(spark, dim):
+    # pairs just above the asked cosine, with the parameters of the query
+    rng, n = np.random.default_rng(4), 1000
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, n, dim)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9505 * x + math.sqrt(1 - 0.9505**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]).astype(np.float32))]
+    got = {r.vec_id: r.n_links for r in near_embed.near(vectors(spark, rows)).collect()}
+    found = sum(got[i] > 0 for i in range(n)) / n
+    print(f"{dim} dimensions: {found:.4f} of the pairs found")
+    assert found >= 0.998
+
+
 def test_reach():
     rng = np.random.default_rng(6)
     for n in (1, 2, 9, 60):

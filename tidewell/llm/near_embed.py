@@ -99,7 +99,7 @@ def reach(link: np.ndarray) -> np.ndarray:
     return first
 
 
-def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, tables: int = 5, hashes: int = 3, block: int = 2000, seed: int = 11) -> DataFrame:
+def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, tables: int = 10, hashes: int = 3, block: int = 2000, seed: int = 11) -> DataFrame:
     """Per row: key, n_links (other rows whose vectors link directly), component_id, kept (key = component_id)."""
     spark = prepare(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v") if "float" in df.schema[vector].dataType.simpleString() else F.col(vector).cast("array<double>").alias("v"))
