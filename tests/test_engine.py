@@ -191,6 +191,44 @@ def test_codecs():
             f(bad)
 
 
+def test_states_are_read_again(spark):
+    import hashlib
+    import json
+
+    from tidewell.plans import catalog
+
+    sf, (width, depth) = "/root/testdata/sf0.001", cms_size(0.005, 0.01)
+    users, names = {}, {}
+    for r in src.canonical(configured(spark), sf).select("tenant_id", "day", "distinct_id", "name").collect():
+        users.setdefault(r[:2], set()).add(r.distinct_id)
+        names.setdefault(r[:2], Counter())[r.name] += 1
+    want = {}
+    for key, items in users.items():
+        reg = Counter()
+        for x in items:
+            bits = f"{int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), 'little'):064b}"
+            reg[bits[:10]] = max(reg[bits[:10]], (bits[10:] + "1").index("1") + 1)
+        want[*key, "HLL"] = (5 + 1024, "484C4C010A", 10, None, None, None, None, None, None, len(reg), max(reg.values()))
+    for key, counts in names.items():
+        plain, least, at = Counter(), Counter(), {}
+        for x, n in sorted(counts.items()):
+            h = hashlib.blake2b(x.encode(), digest_size=16).digest()
+            a, b = int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little") | 1
+            at[x] = [(r, (a + r * b) % width) for r in range(depth)]
+            low = min(least[c] for c in at[x]) + n
+            for c in at[x]:
+                plain[c] += n
+                least[c] = max(least[c], low)
+        top = sorted(sorted(counts, key=lambda x: (-min(least[c] for c in at[x]), x))[:5])  # noqa: B023
+        size, total = 21 + 8 * width * depth, counts.total()
+        head = lambda conservative: (b"CMS\x01" + width.to_bytes(4, "little") + depth.to_bytes(4, "little") + bytes([conservative]) + total.to_bytes(8, "little")).hex().upper()  # noqa: B023, E731
+        want[*key, "CMS"] = (size, head(0), None, width, depth, False, total, None, None, len(plain), max(plain.values()))
+        first = (b"TOP\x01" + (5).to_bytes(4, "little") + size.to_bytes(4, "little")).hex().upper()
+        want[*key, "TOP"] = (12 + size + len(json.dumps(top, ensure_ascii=False).encode()), first, None, width, depth, True, total, 5, top, len(least), max(least.values()))
+    got = catalog.QUERIES["sketch_roundtrip"](spark, sf).collect()
+    assert len(got) == len(want) > 0 and {(r.tenant_id, r.day, r.kind): tuple(r[3:]) for r in got} == want
+
+
 # Statistics
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: The layouts of stored states.
@@ -106,3 +107,59 @@ def conservative_cells(items: DataFrame, keys: list[str], item: str, n: str, wid
         return pdf[[*keys, item]].assign(estimate=[int(table[rows, c].min()) for c in cols])
 
     return items.groupBy(*keys, item).agg({n: "sum"}).withColumnRenamed(f"sum({n})", n).groupBy(*keys).applyInPandas(run, f"{kinds}, {item} string, estimate long")
+
+
+def counted_states(items: DataFrame, keys: list[str], item: str, n: str, width: int, depth: int, k: int) -> DataFrame:
+    """keys, `cms` and `top`: of each group an encoded Count-Min sketch, and a top-k state over one with conservative update.
+
+    A group's items, summed before, are added in their order; of equal estimates the smaller item is in the top.
+    """
+    kinds = ", ".join(f"{x} {items.schema[x].dataType.simpleString()}" for x in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(item)
+        names, counts, rows = pdf[item].tolist(), pdf[n].tolist(), np.arange(depth)
+        plain, least = np.zeros((2, depth, width), np.uint64)
+        cols = [np.array([(a + r * b) % width for r in range(depth)]) for a, b in map(blake_pair, names)]
+        for c, x in zip(cols, counts):
+            plain[rows, c] += np.uint64(x)
+            least[rows, c] = np.maximum(least[rows, c], least[rows, c].min() + np.uint64(x))
+        best = sorted(zip((-int(least[rows, c].min()) for c in cols), names))[:k]
+        states = encode_cms(width, depth, sum(counts), plain), encode_top(k, encode_cms(width, depth, sum(counts), least, True), [x for _, x in best])
+        return pd.DataFrame({**{x: [pdf[x].iloc[0]] for x in keys}, "cms": [states[0]], "top": [states[1]]})
+
+    items = items.where(f"{item} is not null").groupBy(*keys, item).agg({n: "sum"}).withColumnRenamed(f"sum({n})", n)
+    return items.groupBy(*keys).applyInPandas(run, f"{kinds}, cms binary, top binary")
+
+
+DECODED = "kind string, bytes long, header string, p int, width int, depth int, conservative boolean, total long, k int, names array<string>, used long, largest long"
+
+
+def decoded(states: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """keys and what each encoded state says when read again: used and largest are of its registers or cells."""
+    kinds = ", ".join(f"{x} {states.schema[x].dataType.simpleString()}" for x in keys)
+
+    head = {"HLL": HLL_HEADER.size, "CMS": CMS_HEADER.size, "TOP": TOP_HEADER.size}
+
+    def read(raw: bytes) -> dict:
+        kind = raw[:3].decode()
+        out = {"kind": kind, "bytes": len(raw), "header": raw[: head[kind]].hex().upper()}
+        if kind == "HLL":
+            out["p"], cells = decode_hll(raw)
+        else:
+            cms = raw
+            if kind == "TOP":
+                out["k"], cms, out["names"] = decode_top(raw)
+            out["width"], out["depth"], out["total"], out["conservative"], cells = decode_cms(cms)
+        return out | {"used": int((cells > 0).sum()), "largest": int(cells.max())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [read(x) for x in batch.column(len(keys)).to_pylist()]
+            cols = [pa.array([x.get(c) for x in out], t) for c, t in _TYPES.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in range(len(keys))), *cols], [*keys, *_TYPES])
+
+    return states.select(*keys, data).mapInArrow(run, f"{kinds}, {DECODED}")
+
+
+_TYPES = {"kind": pa.string(), "bytes": pa.int64(), "header": pa.string(), "p": pa.int32(), "width": pa.int32(), "depth": pa.int32(), "conservative": pa.bool_(), "total": pa.int64(), "k": pa.int32(), "names": pa.list_(pa.string()), "used": pa.int64(), "largest": pa.int64()}

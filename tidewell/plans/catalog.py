@@ -658,9 +658,11 @@ def hash64_udf(spark, d):
 
 @query()
 def sketch_roundtrip(spark, d):
-    """Each day's encoded users, decoded again: precision, registers in use and their largest rank."""
-    states = codecs.hll_states(src.canonical(spark, d), ["tenant_id", "day"], "distinct_id", 10)
-    return states.select("tenant_id", "day", F.octet_length("data").alias("bytes"), F.hex(F.substring("data", 1, 5)).alias("header"))
+    """Each day's encoded users (HyperLogLog) and event names (Count-Min, top 5), decoded again: parameters, names, registers or cells in use and the largest of them."""
+    keys = ["tenant_id", "day"]
+    users = codecs.hll_states(src.canonical(spark, d), keys, "distinct_id", 10)
+    names = codecs.counted_states(_names(spark, d), keys, "item", "n", _W, _D, 5)
+    return codecs.decoded(users.union(names.select(*keys, F.explode(F.array("cms", "top")))), keys, "data")
 
 
 @query()
