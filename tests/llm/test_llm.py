@@ -326,7 +326,7 @@ def test_near_embeddings(spark, block):
         if (new == comp).all():
             break
         comp = new
-    got = {r.vec_id: r for r in near_embed.near(vectors(spark, rows + BAD_VECTORS), block=block, tables=10).collect() if r.vec_id is not None}
+    got = {r.vec_id: r for r in near_embed.near(vectors(spark, rows + BAD_VECTORS), block=block).collect() if r.vec_id is not None}
     # verified pairs only, and nearly all of them; equal vectors always
     degree = link.sum(axis=1)
     assert all(got[i].n_links <= degree[i] for i in range(len(x)))
@@ -361,6 +361,22 @@ def test_near_embeddings_at_the_bound(spark, dim):
     assert found >= 0.998
 
 
+def test_near_embeddings_by_brute_force_of_classes(spark):
+    # one key with several vectors, repeated rows, norms beyond the range of doubles
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [2.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.02]), (3, [0.0, 1.0, 0.02]), (4, [0.0, 0.0, 1e200]), (5, [0.0, 1e185, 1e200]), (6, [0.0, 0.0, 1e-200]), (2, [0.0, 0.0, 3.0]), (7, [1.0, 1.0, 1.0]), (8, [3.0, 3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([np.array(v) / max(v) for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    ids, vs = [k for k, _ in rows], [tuple(v) for _, v in rows]
+    comp = list(ids)
+    for _ in rows:
+        comp = [min([comp[i], *(comp[j] for j in np.flatnonzero(link[i]))]) for i in range(len(rows))]
+    want = Counter((k, int(link[i].sum()), comp[i], k == comp[i]) for i, k in enumerate(ids))
+    assert len(set(vs)) < len(vs) and Counter(map(tuple, near_embed.near(df).collect())) == want
+
+
 def test_reach():
     rng = np.random.default_rng(6)
     for n in (1, 2, 9, 60):
@@ -398,6 +414,22 @@ def test_neighbours(spark):
     assert ann.search(vectors(spark, []), vectors(spark, [])).count() == 0
 
 
+def test_neighbours_of_repeated_keys_and_lengths(spark):
+    # one key under two vectors, repeated rows, and three lengths, searched exactly
+    rng = np.random.default_rng(5)
+    rows = [(int(k), [float(x) for x in rng.standard_normal(d)]) for d, n in ((3, 60), (5, 30), (2, 3)) for k in rng.integers(0, 45, n)]
+    rows += [(20, rows[0][1]), (20, rows[0][1]), (40, rows[0][1])]
+    base = vectors(spark, rows).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = [(r.vec_id, r.embedding) for r in base.collect()]
+    want = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            got = sorted((-float(np.dot(v, w)), k) for j, (k, w) in enumerate(rows) if i != j and len(v) == len(w))[:20]
+            want.update((q, r + 1, k, round(-s, 9)) for r, (s, k) in enumerate(got))
+    got = ann.search(base, base.where("vec_id % 20 = 0")).collect()
+    assert Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == want
+
+
 # Repeats
 
 

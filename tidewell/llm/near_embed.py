@@ -8,12 +8,16 @@ meets first. Pairs are never written out: a bucket gives each vector a count of
 bucket's links reach from it, so that these edges have the components of all links.
 Keys are shuffled first, and vectors only for buckets where some meet.
 
-Equal vectors form a class that takes part once and carries its count. Buckets above `block` classes are split into
-parts, and every pair of parts is a task of its own, so that a hot bucket is spread and nothing is dropped.
+Equal vectors form a class, named by a 64-bit hash of the vector, that takes part once and carries its count and its
+smallest key; different vectors under one key are classes of their own. Buckets above `block` classes are split into
+parts, and every pair of parts is a task of its own, so that a hot bucket is spread and nothing is dropped. Groups of
+buckets are as many as the rows to compare ask for, so a task's frame stays of one size whatever the input.
 
 Handled cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
-own component; vectors of different lengths don't link; rows without a key have no links and no component; equal rows
-stay in the result; an empty table gives no rows; other columns are not read.
+own component; vectors are scaled by their largest component first, so that no finite norm overflows or vanishes; vectors
+of different lengths don't link; rows without a key have no links and no component; equal rows stay in the result, and so
+do different vectors under one key, each with the links of its own vector; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +33,20 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import U8, mix, parts, prepare, saved
 from tidewell.llm.components import components
 
+#: Rows that a task compares, about.
+ROWS = 20_000
+
 
 def usable(v: str) -> Column:
     """Whether a vector has components, all finite and not all zero."""
     return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows over their largest components, so that sums of their squares are finite and not zero."""
+    return v / np.abs(v).max(axis=1, keepdims=True)
+
+
 def matrix(col: pa.Array) -> np.ndarray:
     """Rows of a list column of one length as doubles."""
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -57,7 +69,7 @@ def probes(v: np.ndarray, tables: int, hashes: int, seed: int) -> np.ndarray:
     n, dim = v.shape
     d = 1 << max(1, dim - 1).bit_length()
     x = np.zeros((n, d))
-    x[:, :dim] = v
+    x[:, :dim] = scaled(v) if n else v
     rng = np.random.default_rng([seed, dim])
     out = np.empty((n, tables, 1 << hashes), np.int64)
     for t in range(tables):
@@ -103,10 +115,8 @@ def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosin
     """Per row: key, n_links (other rows whose vectors link directly), component_id, kept (key = component_id)."""
     spark = prepare(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v") if "float" in df.schema[vector].dataType.simpleString() else F.col(vector).cast("array<double>").alias("v"))
-    hashed = F.struct(F.xxhash64("v"), F.hash("v"))
-    rows = rows.withColumn("cls", F.when(usable("v") & F.col("id").isNotNull(), hashed))
+    rows = rows.withColumn("cls", F.when(usable("v") & F.col("id").isNotNull(), F.xxhash64("v")))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("v", "id").alias("v"))
-    slots = 4 * parts(spark)
 
     def hashed_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,19 +131,20 @@ def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosin
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(len(batch), -1)
             own = np.zeros(keys.shape, bool)
             own[:, :: 1 << hashes] = True
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), keys.shape[1]))), pa.array(own.ravel())], ["key", "rep", "own"])
+            table = np.repeat(np.arange(tables, dtype=np.int32), 1 << hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(table, len(batch))), batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), keys.shape[1]))), pa.array(own.ravel())], ["key", "t", "cls", "own"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["rep"], pdf["high"], pdf["low"], pdf["key"]))
+        order = np.lexsort((pdf["cls"], pdf["high"], pdf["low"], pdf["t"], pdf["key"]))
         pdf = pdf.iloc[order]
-        key, low, high, rep, n = (pdf[c].to_numpy() for c in ("key", "low", "high", "rep", "n"))
+        key, of, low, high, cls, n = (pdf[c].to_numpy() for c in ("key", "t", "low", "high", "cls", "n"))
         part, own, vs, ks = (pdf[c].to_numpy() for c in ("i", "own", "v", "keys"))
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
-        links, to = np.zeros(len(key), np.int64), rep.copy()
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+        links, to = np.zeros(len(key), np.int64), cls.copy()
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if b - a < 2:
+            if b - a < 2 or len({len(x) for x in vs[a:b]}) > 1:  # of one length, but for a collision of keys
                 continue
-            v = np.stack(vs[a:b]).astype(np.float64)
+            v = scaled(np.stack(vs[a:b]).astype(np.float64))
             v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
             link = v @ v.T >= cosine
             np.fill_diagonal(link, False)
@@ -143,8 +154,8 @@ def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosin
             p, q = np.nonzero(np.triu(link))
             if not len(p):
                 continue
-            keys = np.stack([np.frombuffer(x, "<i8").reshape(tables, -1) for x in ks[a:b]])
-            table = int(np.flatnonzero((keys[0] == key[a]).any(axis=1))[0])
+            table = int(of[a])
+            keys = np.stack([np.frombuffer(x, "<i8").reshape(table + 1, -1) for x in ks[a:b]])
             for i in range(0, len(p), 50_000):  # a pair counts in the first bucket where it meets
                 x, y = p[i : i + 50_000], q[i : i + 50_000]
                 first = np.ones(len(x), bool)
@@ -158,18 +169,24 @@ def near(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosin
                         first &= np.minimum(np.where(into_x, keys[x, t, 0], most), np.where(into_y, keys[y, t, 0], most)) == key[a]
                 np.add.at(links, a + x[first], n[a + y[first]])
                 np.add.at(links, a + y[first], n[a + x[first]])
-            to[a:b] = rep[a + reach(link)]
-        got = (links > 0) | (to != rep)
-        return pd.DataFrame({"rep": rep[got], "links": links[got], "to": to[got]})
+            to[a:b] = cls[a + reach(link)]
+        got = (links > 0) | (to != cls)
+        return pd.DataFrame({"cls": cls[got], "links": links[got], "to": to[got]})
 
     classes = saved(classes.mapInArrow(hashed_classes, f"{', '.join(f'{c} {t}' for c, t in classes.dtypes)}, keys binary"))
-    pairs = classes.select("rep", "keys").mapInArrow(buckets, "key long, rep long, own boolean")
-    met = pairs.groupBy("key").agg(F.count("*").alias("m"), F.count_if("own").alias("own")).where("m > 1 and own > 0").select("key", F.ceil(F.col("m") / block).alias("k"))
-    pairs = pairs.join(met, "key").withColumn("i", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cast(k as int) - 1)")))
-    pairs = pairs.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "own", "rep").join(classes.select("rep", "n", "v", "keys"), "rep")
-    found = saved(pairs.groupBy(F.pmod(F.xxhash64("key", "low", "high"), F.lit(slots)).alias("slot")).applyInPandas(verify, "rep long, links long, to long"))
-    comp = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "rep")
-    per = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of = classes.join(per, "rep", "left").join(comp, "rep", "left").select("cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    pairs = classes.select("cls", "keys").mapInArrow(buckets, "key long, t int, cls long, own boolean")
+    met = pairs.groupBy("key", "t").agg(F.count("*").alias("m"), F.count_if("own").alias("own")).where("m > 1 and own > 0").select("key", "t", "m", F.ceil(F.col("m") / block).alias("k"))
+    met = saved(met)
+    slots = max(4 * parts(spark), -(-(met.agg(F.sum(F.col("m") * F.col("k"))).first()[0] or 0) // ROWS))
+    pairs = pairs.join(met.drop("m"), ["key", "t"]).withColumn("i", F.pmod(F.xxhash64("cls"), "k").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cast(k as int) - 1)")))
+    # a bucket needs a vector's keys of its own table and of those before
+    values = classes.select("cls", "n", "v", "keys")
+    pairs = pairs.select("key", "t", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "own", "cls").join(values, "cls").withColumn("keys", F.expr(f"substring(keys, 1, (t + 1) * {8 << hashes})"))
+    found = saved(pairs.groupBy(F.pmod(F.xxhash64("key", "t", "low", "high"), F.lit(slots)).alias("slot")).applyInPandas(verify, "cls long, links long, to long"))
+    comp = components(found.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "cls")
+    least = comp.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("least"))
+    comp = comp.join(least, "component").select("cls", "least")
+    per = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    of = classes.select("cls", "n", "rep").join(per, "cls", "left").join(comp, "cls", "left").select("cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "rep").alias("component"))
     out = rows.select("id", "cls").join(of, "cls", "left").select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
