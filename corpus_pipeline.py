@@ -54,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written as Parquet to the session's checkpoint folder and read again."""
+    """The stages over documents, each result written as Parquet to the session's checkpoint folder and read again.
+
+    A stage's files are removed once the next one's are written; those that the last stage reads stay for its result.
+    """
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), ""
     base = spark.sparkContext.getCheckpointDir()
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
@@ -65,4 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/pipeline-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}-{k}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            old = spark._jvm.org.apache.hadoop.fs.Path(last)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        last = path
     return docs

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from tidewell.functions.bounds import cms_bounds, cms_size, hll_alpha, hll_error
 from tidewell.functions.scalar import instant_text, item_key, json_string, normalized, write_shard
 from tidewell.operators import ingest, metrics, routing, sketches, validate
 from tidewell.plans import stats
+from tidewell.session import shared_folder
 from tidewell.sources import events as src
 from tidewell.streaming import pipeline
 
@@ -672,8 +672,7 @@ def cms_conservative(spark, d):
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder that the driver and the executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewell-")
-    return f"{base}/queries-{spark._jvm.java.util.UUID.randomUUID()}"
+    return f"{shared_folder(spark)}/queries-{spark._jvm.java.util.UUID.randomUUID()}"
 
 
 def _stream(spark: SparkSession, d: str, crash_at: str | None) -> tuple[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,16 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and the executors share: spark.checkpoint.dir. Only a local session gets a folder of its own."""
+    sc = spark.sparkContext
+    if found := sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir():
+        return found
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
+    return tempfile.mkdtemp(prefix="tidewell-")
+
+
 def configured(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED.items():
         spark.conf.set(k, v)
