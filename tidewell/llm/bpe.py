@@ -3,11 +3,16 @@
 A word's leaves hold the rank of the pair that starts there, or infinity. The root is the lowest rank, at its leftmost
 place, so each merge reads the root and updates the leaves of the pair and of its neighbours, in logarithmic time, until
 no pair can merge. Words that a batch sees for the first time are merged together: their trees are the rows of one array,
-and a merge step is done in all of them at once. Known words come from a cache of a fixed number of places.
+and a merge step is done in all of them at once; where only a few words of a length are new, each has a tree of its own in
+plain integers. Known words come from a cache of a fixed number of places.
+
+Texts are cut at ASCII white space, over which neither the normal form nor a word reaches. A run of plain bytes is cut into
+words by byte classes. A run with any other byte (an apostrophe, another script, a control character) is normalised and
+cut by the vocabulary's pattern, and its words go through the same cache; short runs are cached whole.
 
 Handled cases: null and empty texts give no ids; special strings of the vocabulary in a text give their ids, as in the
 library; a word of any length costs n log n; equal words are merged once while they stay in the cache; an empty table
-gives no rows; other columns of the input are not read.
+gives no rows; repeated and null keys are carried through; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -16,20 +21,22 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import U8, by_bytes, prepare, string_hashes, sums, text_bytes, tokenizer_path
+from tidewell.llm.common import U8, by_bytes, distinct, prepare, string_hashes, sums, text_bytes, tokenizer_path
 
 #: Places of the cache of words, a power of two, and ids that it holds, at most.
 PLACES, HELD = 1 << 19, 1 << 22
-#: Cells of the trees of words merged together, at most.
-TOGETHER = 1 << 19
+#: Cells of the trees of words merged together, at most; so few words have trees of their own.
+TOGETHER, FEW = 1 << 19, 24
+#: Bytes of a run that the cache holds whole, at most.
+RUN = 64
 
-# Plain texts are of ASCII (no control characters but white space, no apostrophe) and U+00C0 to U+00FF, but no sign of multiplication or division. They are in normal form C, and each byte tells its class and its lower case.
+# Plain bytes are of ASCII (no control characters but white space, no apostrophe) and U+00C0 to U+00FF, but no sign of multiplication or division. They are in normal form C, and each byte tells its class and its lower case.
 _GAP, _LETTER, _DIGIT, _MARK, _ODD = range(5)
 KIND = np.full(256, _ODD, np.uint8)
 KIND[32:127] = _MARK
@@ -83,9 +90,10 @@ class SegmentTreeBPE:
         letters = byte_letters()
         self.inner = np.array([vocab.get(c, -1) for c in letters], np.int64)
         self.final = np.array([vocab.get(c + end, -1) for c in letters], np.int64)
-        self.any_special = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.special_bytes = [x.encode() for x in self.special]
+        self.special_bytes = [x.encode() for x in sorted(self.special, key=len, reverse=True)]
+        self.any_special = re.compile(b"|".join(map(re.escape, self.special_bytes)) or rb"(?!)")
         self.cut = None
+        self.pairs: dict[int, tuple[int, int]] = {}  # of trees in plain integers
         self._clear()
 
     def _clear(self) -> None:
@@ -142,6 +150,52 @@ class SegmentTreeBPE:
         kept = sym >= 0
         return sym[kept], kept.sum(axis=1)
 
+    def _merge_one(self, word: bytes) -> list[int]:
+        """Ids of one word: the same tree in plain integers, of which a merge reads and mends a few paths."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys[:-1].tolist(), zip(self.ranks.tolist(), self.made[self.ranks].tolist())))
+        n, size, pairs = len(word), self.size, self.pairs
+        sym = [*self.inner[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.final[word[-1]])]
+        width = 1 << max(1, (n - 1).bit_length())
+        inf = self.n_merges * width + width
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [inf] * (2 * width)
+        for i in range(n - 1):
+            if got := pairs.get(sym[i] * size + sym[i + 1]):
+                tree[width + i] = got[0] * width + i
+        for i in range(width - 1, 0, -1):
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
+
+        def put(at: int, value: int) -> None:
+            at += width
+            tree[at] = value
+            at >>= 1
+            while at:
+                a, b = tree[2 * at], tree[2 * at + 1]
+                a = a if a < b else b
+                if tree[at] == a:
+                    return
+                tree[at] = a
+                at >>= 1
+
+        while tree[1] < inf:
+            pos = tree[1] % width
+            right, before = nxt[pos], prv[pos]
+            after = nxt[right]
+            got = sym[pos] = pairs[sym[pos] * size + sym[right]][1]
+            sym[right], nxt[pos] = -1, after
+            put(right, inf)
+            new = None
+            if after < n:
+                prv[after] = pos
+                new = pairs.get(got * size + sym[after])
+            put(pos, new[0] * width + pos if new else inf)
+            if before >= 0:
+                new = pairs.get(sym[before] * size + got)
+                put(before, new[0] * width + before if new else inf)
+        return [x for x in sym if x >= 0]
+
     def merged(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words data[s:e], one after another, and how many each has."""
         size = e - s
@@ -152,7 +206,11 @@ class SegmentTreeBPE:
             all_of, step = np.flatnonzero(width == k), max(1, TOGETHER // (2 * k))
             for i in range(0, len(all_of), step):
                 part = all_of[i : i + step]
-                got, n = self._merge(data[ragged(s[part], size[part])], size[part], k)
+                if len(part) < FEW:
+                    each = [self._merge_one(data[a:b].tobytes()) for a, b in zip(s[part].tolist(), e[part].tolist())]
+                    got, n = np.array([x for w in each for x in w], np.int64), np.array([len(w) for w in each], np.int64)
+                else:
+                    got, n = self._merge(data[ragged(s[part], size[part])], size[part], k)
                 ids.append(got)
                 count[part] = n
                 at[part] = used + np.cumsum(n) - n
@@ -160,86 +218,111 @@ class SegmentTreeBPE:
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         return flat[ragged(at, count)], count
 
-    def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain texts, and the n + 1 bounds of each text's ids."""
+    def _cached(self, h: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], short: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings of these hashes, one after another, and how many each has.
+
+        make gives them for places of strings that the cache doesn't hold; of these, the short ones are kept.
+        """
+        place = (h & U8(PLACES - 1)).astype(np.int64)
+        hit = self.known[place] == h
+        count, at = np.where(hit, self.count[place], 0).astype(np.int64), np.cumsum(hit)
+        out = self.pool[ragged(self.at[place[hit]], count[hit])]
+        if hit.all():
+            return out, count
+        at[hit] = np.cumsum(count[hit]) - count[hit]
+        miss = np.flatnonzero(~hit)
+        fresh, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+        ids, n = make(miss[first])
+        begin = np.cumsum(n) - n
+        at[miss], count[miss] = len(out) + begin[back], n[back]
+        out = np.concatenate([out, ids])[ragged(at, count)]
+        keep = np.flatnonzero(short[miss[first]]) if short is not None else np.arange(len(fresh))
+        if len(keep) < len(fresh):
+            ids, fresh, n = ids[ragged(begin[keep], n[keep])], fresh[keep], n[keep]
+            begin = np.cumsum(n) - n
+        if self.used + len(ids) > len(self.pool):
+            self._clear()
+        if len(ids) <= len(self.pool):  # else a batch of very long words, which are not kept
+            self.pool[self.used : self.used + len(ids)] = ids
+            to = (fresh & U8(PLACES - 1)).astype(np.int64)
+            self.known[to], self.at[to], self.count[to] = fresh, self.used + begin, n
+            self.used += len(ids)
+        return out, count
+
+    def _odd(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs without ASCII white space, one after another, and how many each has."""
+        if self.cut is None:
+            import regex
+
+            self.cut = regex.compile(r"\r|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+        text = b"\r".join(runs).decode()
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("\u03a3", "\u03c3").lower()  # letter by letter: no final sigma
+        found = "\n".join(self.cut.findall(text)).encode()
+        data = np.frombuffer(found, np.uint8)
+        e = np.append(np.flatnonzero(data == 10), len(data)) if len(data) else np.zeros(0, np.int64)
+        s = np.concatenate([[0], e[:-1] + 1]).astype(np.int64)[: len(e)]
+        ends = (e - s == 1) & (data[s] == 13) if len(s) else np.zeros(0, bool)
+        run = np.cumsum(ends)[~ends]
+        s, e = s[~ends], e[~ends]
+        ids, n = self._cached(string_hashes(sums(data), s, e), lambda at: self.merged(data, s[at], e[at]))
+        return ids, np.bincount(run, n, len(runs)).astype(np.int64)
+
+    def _words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special strings, and the n + 1 bounds of each text's ids."""
         kind, low = KIND[data], LOWER[data]
         change = np.empty(len(data) + 1, bool)
         change[0] = change[-1] = True
         change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
         change[off] = True
+        odd = np.flatnonzero(kind == _ODD)
+        if len(odd):  # runs with such a byte stay whole
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], kind == _GAP, [True]])) != 0)
+            edge = distinct(np.sort(np.concatenate([edge, off])))
+            run = distinct(np.searchsorted(edge, odd, "right") - 1)
+            a, b = edge[run], edge[run + 1]
+            change[ragged(a + 1, b - a - 1)] = False
         cuts = np.flatnonzero(change)
         s, e = cuts[:-1], cuts[1:]
         word = kind[s] != _GAP
         s, e = s[word], e[word]
         bound = np.searchsorted(s, off)
-        h = string_hashes(sums(low), s, e)
-        place = (h & U8(PLACES - 1)).astype(np.int64)
-        miss = np.flatnonzero(self.known[place] != h)
-        if self.used + 8 * len(miss) > len(self.pool):
-            self._clear()
-            miss = np.arange(len(h))
-        at, count = self.at[place], self.count[place].astype(np.int64)
-        pool = self.pool
-        if len(miss):
-            fresh, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            ids, n = self.merged(low, s[miss[first]], e[miss[first]])
-            if self.used + len(ids) > len(pool):  # very long words: for this call alone
-                pool = np.concatenate([pool[: self.used], ids.astype(np.int32)])
-            else:
-                pool[self.used : self.used + len(ids)] = ids
-            begin = self.used + np.cumsum(n) - n
-            at[miss], count[miss] = begin[back], n[back]
-            if pool is self.pool:
-                to = (fresh & U8(PLACES - 1)).astype(np.int64)
-                self.known[to], self.at[to], self.count[to] = fresh, begin, n
-                self.used += len(ids)
-        total = np.concatenate([[0], np.cumsum(count)])
-        return pool[ragged(at, count)], total[bound]
-
-    def _any(self, text: str) -> np.ndarray:
-        """Ids of any text without special strings."""
-        if self.cut is None:
-            import regex
-
-            self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-        found = [x.encode() for x in self.cut.findall("".join([c.lower() for c in unicodedata.normalize("NFC", text)]))]
-        if not found:
-            return np.zeros(0, np.int64)
-        e = np.cumsum([len(x) for x in found])
-        s = np.concatenate([[0], e[:-1]])
-        data = np.frombuffer(b"".join(found), np.uint8)
-        fresh, first, back = np.unique(string_hashes(sums(data), s, e), return_index=True, return_inverse=True)
-        ids, n = self.merged(data, s[first], e[first])
-        return ids[ragged((np.cumsum(n) - n)[back], n[back])]
-
-    def encode_text(self, text: str | None) -> np.ndarray:
-        """Ids of one text, special strings included."""
-        text, out, last = text or "", [], 0
-        for m in self.any_special.finditer(text):
-            out += [self._any(text[last : m.start()]), np.array([self.special[m[0]]])]
-            last = m.end()
-        return np.concatenate([*out, self._any(text[last:])]).astype(np.int32)
+        if not len(odd):
+            ids, n = self._cached(string_hashes(sums(low), s, e), lambda at: self.merged(low, s[at], e[at]))
+            return ids, np.concatenate([[0], np.cumsum(n)])[bound]
+        whole = np.zeros(len(s), bool)
+        whole[np.searchsorted(s, a)] = True
+        n = np.zeros(len(s), np.int64)
+        ps, pe = s[~whole], e[~whole]
+        plain, n[~whole] = self._cached(string_hashes(sums(low), ps, pe), lambda at: self.merged(low, ps[at], pe[at]))
+        flat, size = data[ragged(a, b - a)], b - a
+        h = string_hashes(sums(flat), np.cumsum(size) - size, np.cumsum(size)) ^ U8(0xA24BAED4963EE407)  # apart from the words'
+        others, n[whole] = self._cached(h, lambda at: self._odd([data[x:y].tobytes() for x, y in zip(a[at].tolist(), b[at].tolist())]), size <= RUN)
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = np.empty(total[-1], plain.dtype)
+        ids[ragged(total[:-1][~whole], n[~whole])] = plain
+        ids[ragged(total[:-1][whole], n[whole])] = others
+        return ids, total[bound]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, given as bytes and the n + 1 offsets of each, and the n + 1 bounds of each text's ids."""
-        odd = np.zeros(len(off) - 1, bool)
-        odd[np.searchsorted(off, np.flatnonzero(KIND[data] == _ODD), "right") - 1] = True
-        raw = data.tobytes()
-        for x in self.special_bytes:
-            at = raw.find(x)
-            while at >= 0:
-                odd[np.searchsorted(off, at, "right") - 1] = True
-                at = raw.find(x, at + 1)
-        if not odd.any():
-            return self._plain(data, off)
-        plain, size = np.flatnonzero(~odd), np.diff(off)
-        ids, bound = self._plain(data[ragged(off[:-1][plain], size[plain])], np.concatenate([[0], np.cumsum(size[plain])]))
-        got: list[np.ndarray] = [None] * len(odd)  # type: ignore[list-item]
-        for k, i in enumerate(plain.tolist()):
-            got[i] = ids[bound[k] : bound[k + 1]]
-        for i in np.flatnonzero(odd).tolist():
-            got[i] = self.encode_text(raw[off[i] : off[i + 1]].decode())
-        return np.concatenate(got), np.concatenate([[0], np.cumsum([len(x) for x in got])])
+        raw, marks = data.tobytes(), []
+        if any(x in raw for x in self.special_bytes):
+            for i in range(len(off) - 1):
+                marks += [(off[i] + m.start(), off[i] + m.end(), self.special[m[0].decode()]) for m in self.any_special.finditer(raw[off[i] : off[i + 1]])]
+        if not marks:
+            return self._words(data, off)
+        # texts are cut at special strings; the pieces go on without them
+        s, e, name = (np.array(x, np.int64) for x in zip(*marks))
+        keep = np.ones(len(data), bool)
+        keep[ragged(s, e - s)] = False
+        at = np.concatenate([[0], np.cumsum(keep)])
+        cuts = np.sort(np.concatenate([off, s]), kind="stable")
+        ids, bound = self._words(data[keep], at[cuts])
+        nth = np.searchsorted(off, s, "right") + np.arange(len(s))  # the cut of each special string
+        before = np.searchsorted(s, off)
+        return np.insert(ids, bound[nth], name), bound[np.arange(len(off)) + before] + before
 
     def decode(self, ids: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """UTF-8 of the library's decode(ids, skip_special_tokens=False) of each row of ids, with its start and end.

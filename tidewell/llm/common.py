@@ -5,8 +5,6 @@ Texts reach Python as Arrow batches; their UTF-8 bytes are read in place, withou
 
 from __future__ import annotations
 
-import sys
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import importable
+from tidewell.session import importable, shared_folder
 
 U8 = np.uint64
 #: Bytes of text that one vectorised step handles at most, unless one word is longer.
@@ -23,13 +21,11 @@ STEP = 1 << 18
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, bounds the batches they get by bytes, and gives the session a checkpoint folder if it has none."""
+    """Lets Python workers import this package, bounds the batches they get by bytes, and sees to a checkpoint folder."""
     sc = importable(spark).sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-checkpoints-"))
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
     return spark
 
 
@@ -173,7 +169,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
         g = mix(g)
         for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
             if b - a >= width:
-                out.append(np.unique(g[a : b - width + 1]))
+                out.append(distinct(np.sort(g[a : b - width + 1])))
             elif b > a:
                 out.append(mix(np.array([sum(int(w[a + k]) * _PLACE[k] for k in range(b - a)) + (b - a) & (1 << 64) - 1], U8)))
             else:
@@ -181,15 +177,21 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of an ascending array."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """The place of a public vocabulary file on this machine."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        sys.path.append("/opt")
-        return f"/opt/tokenizers/{name}"
+    """The place of a vocabulary file on this machine: a path as it is given, or the name of a public one."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
     return public_tokenizers.path(name)
