@@ -59,7 +59,7 @@ NOTICES = (
 def _matcher(notices: tuple[Notice, ...], phrases: dict[str, str]):
     import regex
 
-    fuzzy = [(x, regex.compile(rf"(?b)\b(?:{regex.escape(x.text, special_only=True, literal_spaces=True)}){{e<={x.edits}}}\b"), [(a, s.encode()) for a, s in x.seeds()]) for x in notices]
+    fuzzy = [(x, regex.compile(rf"(?b)(?<= )(?:{regex.escape(x.text, special_only=True, literal_spaces=True)}){{e<={x.edits}}}(?= )"), [(a, s.encode()) for a, s in x.seeds()]) for x in notices]
     exact = [(p.encode(), label, len(p.split())) for p, label in phrases.items()]
 
     def base(low: bytes) -> list[tuple[int, int, str]]:
@@ -72,8 +72,8 @@ def _matcher(notices: tuple[Notice, ...], phrases: dict[str, str]):
                 at = low.find(b" " + p + b" ", at + 1)
         return out
 
-    def near(low: bytes) -> list[tuple[int, int, str, int]]:
-        """Start, end, label and edits of each place of a notice in the normal form."""
+    def near(low: bytes) -> list[tuple[int, int, str, int, int]]:
+        """Start, end, label and edits of each place of a notice in the normal form, and the notice's length."""
         out = []
         for notice, pattern, seeds in fuzzy:
             n, k, spots = len(notice.text), notice.edits, set()
@@ -91,7 +91,7 @@ def _matcher(notices: tuple[Notice, ...], phrases: dict[str, str]):
                 for m in pattern.finditer(window):
                     got = m[0]
                     if lo + m.start() >= done and (not notice.need or set(notice.need) & set(got.split())):
-                        out.append((lo + m.start(), lo + m.end(), notice.label, sum(m.fuzzy_counts)))
+                        out.append((lo + m.start(), lo + m.end(), notice.label, sum(m.fuzzy_counts), n))
                         done = lo + m.end()
         return out
 
@@ -102,14 +102,13 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", notices: t
     """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     spans: array of (first word, number of words, label, edits) of each place that either search found. score is the best
-    share of a notice that stands unchanged: 1 for an exact one, less by its edits, 0 without any. One map, no shuffle.
+    share of a found notice that stands unchanged: 1 less its edits over its length, 1 for a phrase, 0 without any. One map, no shuffle.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, near = _matcher(notices, phrases)
-        longest = {x.label: max(len(y.text) for y in notices if y.label == x.label) for x in notices}
         gap = np.uint8(32)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
@@ -140,8 +139,8 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", notices: t
                     starts = total[bound[k] : bound[k + 1]] - begin[k] + 1
                     word = lambda p: int(np.searchsorted(starts, p, "right")) - 1  # noqa: E731, B023
                     where = [word(a) for a, _, _ in exact]
-                    spans = [(word(a), word(b - 1) - word(a) + 1, label, 0) for a, b, label in exact] + [(word(a), word(b - 1) - word(a) + 1, label, edits) for a, b, label, edits in fuzzy]
-                    score = max([1.0] * bool(exact) + [max(0.0, 1 - edits / longest[label]) for _, _, label, edits in fuzzy])
+                    spans = [(word(a), word(b - 1) - word(a) + 1, label, 0) for a, b, label in exact] + [(word(a), word(b - 1) - word(a) + 1, label, edits) for a, b, label, edits, _ in fuzzy]
+                    score = max([1.0] * bool(exact) + [1 - edits / size for _, _, _, edits, size in fuzzy])
                     rows.append((int(n_words[k]), len(exact), min(where, default=None), max(where, default=None), ",".join(sorted({x[2] for x in exact})), ",".join(sorted({x[2] for x in spans})), score, sorted(set(spans))))
                 cols = [batch.column(0).slice(i, j - i)] + [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))]
                 cols.append(pa.array([[{"word": a, "words": b, "label": c, "edits": d} for a, b, c, d in r[7]] for r in rows], pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("edits", pa.int64())]))))
