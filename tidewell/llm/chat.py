@@ -8,19 +8,29 @@ has to meet in one task; the segments in the order of seq, joined, are the rende
 Offsets are running sums in two levels: within ranges of `run` turn numbers, and over the ranges' totals.
 
 Handled cases: turns of system_roles are system turns in every rendering and no participants; a null role is an unnamed
-user and no participant; null text is empty; null conv_id is a dialogue of its own; turns are ordered by turn (null
-first), role and text, and equal rows are turns of their own; control marks within a text or a name are broken up; a
+user and no participant; in a name white space, "%" and "<" are written as % and two hex digits, so that different
+names stay different; null text is empty; null conv_id is a dialogue of its own; turns are ordered by turn (null
+first), role and text, and equal rows are turns of their own; control marks within a text are broken up; a
 dialogue without participants has no rendering; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import prepare
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: What a name can't hold as it is; the sign of the escapes comes first.
+ESCAPED = "%< \t\n\v\f\r"
+
+
+def named(speaker: Column) -> Column:
+    """A speaker's name on one line, without control marks; different names give different texts."""
+    for c in ESCAPED:
+        speaker = F.replace(speaker, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return speaker
 
 
 def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system_roles: tuple[str, ...] = ("system",), run: int = 64) -> DataFrame:
@@ -35,8 +45,8 @@ def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role:
     who = m.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*system_roles)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     m = m.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     mine = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
-    named = F.concat(F.lit(f"{START}user"), F.coalesce(F.concat(F.lit(" name="), broken(F.regexp_replace("speaker", r"\s", "_"))), F.lit("")), F.lit("\n"))
-    head = F.when(mine, F.lit(f"{START}assistant\n")).when(F.col("speaker").isin(*system_roles), F.lit(f"{START}system\n")).otherwise(named)
+    other = F.concat(F.lit(f"{START}user"), F.coalesce(F.concat(F.lit(" name="), named(F.col("speaker"))), F.lit("")), F.lit("\n"))
+    head = F.when(mine, F.lit(f"{START}assistant\n")).when(F.col("speaker").isin(*system_roles), F.lit(f"{START}system\n")).otherwise(other)
     m = m.withColumn("head", head).withColumn("mine", mine).withColumn("size", F.length("head") + F.length("content"))
     keys = ["conv_id", "perspective"]
     totals = m.groupBy(*keys, "run").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -49,6 +59,9 @@ def rotate(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role:
     return m.select("conv_id", "perspective", "seq", "turn", "speaker", F.concat("head", "content").alias("segment"), "start_char", "end_char", F.when(F.col("mine"), F.col("start_char") + F.length("head")).alias("train_start"), F.when(F.col("mine"), F.col("end_char") - 1).alias("train_end"))
 
 
+_NAME = "speaker"
+for _c in ESCAPED:
+    _NAME = f"replace({_NAME}, chr({ord(_c)}), '%{ord(_c):02X}')"
 ORACLE = r"""
 WITH m AS (
   SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS raw, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS content FROM conversations
@@ -57,7 +70,7 @@ WITH m AS (
 ), r AS (
   SELECT m.*, who.perspective, coalesce(speaker = perspective, false) AS mine,
     CASE WHEN coalesce(speaker = perspective, false) THEN '<|im_start|>assistant' || chr(10) WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
-      ELSE '<|im_start|>user' || coalesce(' name=' || replace(regexp_replace(speaker, '\s', '_', 'g'), '<|', '< |'), '') || chr(10) END AS head
+      ELSE '<|im_start|>user' || coalesce(' name=' || """ + _NAME + r""", '') || chr(10) END AS head
   FROM m JOIN who ON m.conv_id IS NOT DISTINCT FROM who.conv_id
 ), s AS (
   SELECT *, length(head) + length(content) AS size,
