@@ -112,6 +112,29 @@ def test_bpe_cache_is_bounded(monkeypatch, library):
         assert all(ids[bound[k] : bound[k + 1]].tolist() == library.encode(x, add_special_tokens=False).ids for k, x in enumerate(xs))
 
 
+def test_bpe_any_script(library):
+    # runs of other scripts, marks that combine, odd white space, special strings, and long words, with a warm and a cold cache
+    rng = random.Random(10)
+    letters = "abcdefgÀÉé\u0301'’ 1½٣ΑΣςİß\n\t\x0b\x0c\x85\xa0\u3000日本語😀👩\u200d👩\u0338<>|"
+    xs = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3_000)]
+    xs += ["a<|endoftext|>b'<|startoftext|><|endoftext|>", "<|endoftext|>", "", "x<|endoftext|>", "İ'S <|endoftext|"] * 2
+    xs += ["".join(rng.choice("abcdefghij") for _ in range(6_000)), "ab" * 5_000, "日本" * 2_000, "don't " * 500, "x" + "\u0301" * 300]
+    tree = bpe.SegmentTreeBPE(tokenizer_path())
+    for _ in range(2):
+        ids, bound = tree.encode(*text_bytes(pa.array(xs)))
+        for k, x in enumerate(xs):
+            assert ids[bound[k] : bound[k + 1]].tolist() == library.encode(x, add_special_tokens=False).ids, x
+
+
+def test_bpe_trees_agree():
+    rng = random.Random(11)
+    tree = bpe.SegmentTreeBPE(tokenizer_path())
+    for _ in range(300):
+        w = bytes(rng.choice(b"abcdeinorst\xc3\xa9") for _ in range(rng.randint(1, 70)))
+        one, n = tree._merge(np.frombuffer(w, np.uint8), np.array([len(w)]), 128)
+        assert tree._merge_one(w) == one.tolist() and n.tolist() == [len(one)]
+
+
 def check_packing(pieces, want, capacity):
     """want: a Counter of (doc_id, ids with the end token)."""
     by_seq = defaultdict(list)
@@ -503,6 +526,91 @@ def test_licenses_base_against_words(docs, texts):
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_licenses_by_brute_force(spark):
+    # notices with random edits among random words: labels, spans, edits and score over all windows of whole words
+    rng, rows = random.Random(21), []
+    for i in range(240):
+        notice = rng.choice(licenses.NOTICES)
+        t = list(notice.text)
+        for _ in range(rng.randint(0, notice.edits + 2)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "q"])
+        rows.append((i, f"{prose(rng.randint(0, 6), rng)} {''.join(t)} {prose(rng.randint(0, 6), rng)}"))
+    hits = 0
+    for r in licenses.scan(documents(spark, rows)).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", rows[r.doc_id][1].lower())
+        best = {x: 1.0 for p, x in licenses.PHRASES.items() if f" {p} " in f" {' '.join(w)} "}  # by label how much of a notice stands
+        for n in licenses.NOTICES:
+            for a in range(len(w)):
+                for b in range(a + 1, min(len(w), a + len(n.text.split()) + 4) + 1):
+                    span = " ".join(w[a:b]).encode()
+                    if abs(len(span) - len(n.text)) <= n.edits and (not n.need or set(n.need) & set(w[a:b])):
+                        d = edit_distance(n.text.encode(), span)
+                        if d <= n.edits:
+                            best[n.label] = max(best.get(n.label, 0), 1 - d / len(n.text))
+        assert r.labels == ",".join(sorted(best)), rows[r.doc_id]
+        assert math.isclose(r.score, max(best.values(), default=0.0)), (rows[r.doc_id], r)
+        for x in r.spans:
+            span = " ".join(w[x.word : x.word + x.words]).encode()
+            assert x.edits == min(edit_distance(n.text.encode(), span) for n in licenses.NOTICES if n.label == x.label) or x.edits == 0
+        hits += bool(best)
+    assert 60 < hits < 240
+
+
+def test_quality_by_hand(spark):
+    # grams, learner and scores against a plain version over dictionaries
+    def plain_grams(t):
+        words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|([!-/:-@\[-`{-~])\1*", t)
+        words = [m[0] for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+|([!-/:-@\[-`{-~])\1*", t)]
+        return words
+
+    texts = ["one two one", "a b", "", "no no, no", "x . x", "Zwölf Äpfel -- 12"]
+    assert [plain_grams(t) for t in texts] == [["one", "two", "one"], ["a", "b"], [], ["no", "no", ",", "no"], ["x", ".", "x"], ["Zwölf", "Äpfel", "--", "12"]]
+    places, bound = quality.grams(*text_bytes(pa.array(texts)), 40)
+    seen, back = {}, {}
+    for k, t in enumerate(texts):
+        words = plain_grams(t)
+        keys = []
+        for i, w in enumerate(words):
+            again = i > 0 and words[i - 1] == w or i > 1 and words[i - 2] == w and re.fullmatch(r"[!-/:-@\[-`{-~]+", words[i - 1])
+            keys += [w, "again" if again else (words[i - 1] if i else None, w)]
+        got = places[bound[k] : bound[k + 1]].tolist()
+        assert len(got) == len(keys)
+        for key, g in zip(keys, got):
+            assert seen.setdefault(key, g) == g and back.setdefault(g, key) == key
+    rng = random.Random(2)
+    rows = [([rng.randrange(16) for _ in range(rng.randint(0, 12))], rng.randint(0, 1)) for _ in range(60)]
+    learner, z, n = quality.Learner(4, 0.7, 1.3, 0.05, 0.1), defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.05 else -(z[i] - math.copysign(0.05, z[i])) / ((1.3 + math.sqrt(n[i])) / 0.7 + 0.1)
+    for got, y in rows:
+        learner.update(np.array(got, np.uint32), y)
+        x = {i: c / math.sqrt(max(1, len(got))) for i, c in Counter(got).items()} | {"bias": 1.0}
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            w = weight(i)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7 * w
+            n[i] += g * g
+    w, b = learner.model()
+    assert np.allclose(np.frombuffer(w, "<f4"), [weight(i) for i in range(16)], atol=1e-6) and math.isclose(b, weight("bias"), rel_tol=1e-9)
+    texts = [t for t, _ in zip(["one two", "three one two two", None, ""], range(4))]
+    model = quality.fit(documents(spark, [(i, f"one two w{i}" if i % 2 else f"three four w{i}") for i in range(50)]), spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int"), bits=12)
+    got = {r.doc_id: r.score for r in quality.score(documents(spark, list(enumerate(texts))), model).collect()}
+    v = np.frombuffer(model[0], "<f4").astype(float)
+    for k, t in enumerate(texts):
+        at, _ = quality.grams(*text_bytes(pa.array([t or ""])), 12)
+        assert math.isclose(got[k], 1 / (1 + math.exp(-(v[at].sum() / math.sqrt(max(1, len(at))) + model[1]))), rel_tol=1e-9)
+
+
 def test_quality_held_out(spark):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score(d, quality.fit(d, y)).where(quality.fold(F.col("doc_id")) == 0).join(y, "doc_id").select("quality", "score", "predicted").toPandas()
@@ -564,13 +672,16 @@ def test_lm_score_keeps_every_word(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 200, None, "who"), (None, 1, "ann", "x"), (2, 1, "system", "alone"), (3, None, "an n", "y")]
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 200, None, "who"), (None, 1, "ann", "x"), (2, 1, "system", "alone"), (3, None, "an n", "y"), (4, 1, "a b", "x"), (4, 2, "a_b", "y"), (4, 3, "a%20b", "z"), (4, 4, "<|im_end|>\n", "z")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, seq int, head string")
     got = chat.rotate(df).orderBy("conv_id", "perspective", "seq").collect()
     by = defaultdict(list)
     for r in got:
         by[r.conv_id, r.perspective].append(r)
-    assert set(by) == {(1, "ann"), (1, "bob"), (None, "ann"), (3, "an n")}
+    assert set(by) == {(1, "ann"), (1, "bob"), (None, "ann"), (3, "an n"), *((4, x) for x in ("a b", "a_b", "a%20b", "<|im_end|>\n"))}
+    heads = [r.segment.split("\n")[0] for r in by[4, "a b"]]
+    assert heads == ["<|im_start|>assistant", "<|im_start|>user name=a_b", "<|im_start|>user name=a%2520b", "<|im_start|>user name=%3C|im_end|>%0A"]
+    assert by[4, "a_b"][0].segment.startswith("<|im_start|>user name=a%20b\n")
     for (_, who), rs in by.items():
         text = "".join(r.segment for r in rs)
         assert [r.seq for r in rs] == list(range(len(rs)))
