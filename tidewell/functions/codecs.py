@@ -78,27 +78,74 @@ def hashed(df: DataFrame, item: str) -> DataFrame:
     return df.select(item).mapInPandas(run, "item string, h string")
 
 
+def merge_hll(one: bytes, two: bytes) -> bytes:
+    """The state of the union; the precisions must agree."""
+    (p, a), (q, b) = decode_hll(one), decode_hll(two)
+    if p != q:
+        raise ValueError(f"precisions {p} and {q} differ")
+    return encode_hll(p, np.maximum(a, b))
+
+
+def merge_cms(one: bytes, two: bytes) -> bytes:
+    """The state of both streams, with the first one's flag; widths and depths must agree."""
+    (w, d, n, flag, a), (w2, d2, n2, _, b) = decode_cms(one), decode_cms(two)
+    if (w, d) != (w2, d2):
+        raise ValueError(f"sizes {w} x {d} and {w2} x {d2} differ")
+    return encode_cms(w, d, n + n2, a + b, flag)
+
+
+def cms_read(cells: np.ndarray, width: int, depth: int, item: str) -> int:
+    """An item's count in decoded cells."""
+    a, b = blake_pair(item)
+    return int(min(cells[r * width + (a + r * b) % width] for r in range(depth)))
+
+
+def merge_top(one: bytes, two: bytes) -> bytes:
+    """The sketches merged, and of both states' names the k of the largest counts in them; of equal counts the larger name stays."""
+    (k, a, x), (_, b, y) = decode_top(one), decode_top(two)
+    cms = merge_cms(a, b)
+    width, depth, _, _, cells = decode_cms(cms)
+    best = sorted(((cms_read(cells, width, depth, i), i) for i in {*x, *y}), reverse=True)[:k]
+    return encode_top(k, cms, [i for _, i in best])
+
+
+def top_of(state: bytes, n: int | None = None) -> list[tuple[str, int]]:
+    """A state's names with their counts, read from its sketch, the largest first, of equal ones the smaller name; n or all."""
+    k, cms, names = decode_top(state)
+    width, depth, _, _, cells = decode_cms(cms)
+    return sorted(((i, cms_read(cells, width, depth, i)) for i in names), key=lambda t: (-t[1], t[0]))[: n or k]
+
+
 def hll_states(items: DataFrame, keys: list[str], item: str, p: int) -> DataFrame:
-    """keys and `data`, the encoded registers of each group, of at most 2^p bytes; items are distinct before the shuffle."""
+    """keys and `data`, the encoded registers of each group. Registers meet as rows, of which a group has 2^p at most."""
     kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.array([blake64(x) for x in pdf[item]], np.uint64)
-        rest = (h << np.uint64(p)) >> np.uint64(p)
-        rank = (64 - p) - np.array([x.bit_length() for x in rest.tolist()]) + 1
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = np.array([blake64(x) for x in pdf[item]], np.uint64)
+            rest = (h << np.uint64(p)) >> np.uint64(p)
+            rank = (64 - p) - np.array([x.bit_length() for x in rest.tolist()], np.int64) + 1
+            yield pdf[keys].assign(idx=(h >> np.uint64(64 - p)).astype(np.int32), rank=rank.astype(np.int32))
+
+    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
         reg = np.zeros(1 << p, np.uint8)
-        np.maximum.at(reg, (h >> np.uint64(64 - p)).astype(np.int64), rank.astype(np.uint8))
+        reg[pdf["idx"]] = pdf["rank"]
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "data": [encode_hll(p, reg)]})
 
-    return items.select(*keys, item).distinct().groupBy(*keys).applyInPandas(run, f"{kinds}, data binary")
+    rows = items.where(f"{item} is not null").select(*keys, item).mapInPandas(ranks, f"{kinds}, idx int, rank int")
+    return rows.groupBy(*keys, "idx").agg({"rank": "max"}).withColumnRenamed("max(rank)", "rank").groupBy(*keys).applyInPandas(encoded, f"{kinds}, data binary")
 
 
 def conservative_cells(items: DataFrame, keys: list[str], item: str, n: str, width: int, depth: int) -> DataFrame:
-    """keys, item, estimate of a Count-Min sketch with conservative update; a group's items, summed before, are added in their order."""
+    """keys, item, estimate of a Count-Min sketch with conservative update.
+
+    The result depends on the order of the adds. A group's items are summed and then added the largest first, of equal ones
+    the smaller first, in which order the large ones are over-counted least. An update in order needs a group in one task.
+    """
     kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
+        pdf = pdf.sort_values([n, item], ascending=[False, True])
         table = np.zeros((depth, width), np.int64)
         rows = np.arange(depth)
         cols = [np.array([(a + r * b) % width for r in range(depth)]) for a, b in map(blake_pair, pdf[item])]
@@ -112,12 +159,12 @@ def conservative_cells(items: DataFrame, keys: list[str], item: str, n: str, wid
 def counted_states(items: DataFrame, keys: list[str], item: str, n: str, width: int, depth: int, k: int) -> DataFrame:
     """keys, `cms` and `top`: of each group an encoded Count-Min sketch, and a top-k state over one with conservative update.
 
-    A group's items, summed before, are added in their order; of equal estimates the smaller item is in the top.
+    A group's items, summed before, are added the largest first; of equal estimates the smaller item is in the top.
     """
     kinds = ", ".join(f"{x} {items.schema[x].dataType.simpleString()}" for x in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
+        pdf = pdf.sort_values([n, item], ascending=[False, True])
         names, counts, rows = pdf[item].tolist(), pdf[n].tolist(), np.arange(depth)
         plain, least = np.zeros((2, depth, width), np.uint64)
         cols = [np.array([(a + r * b) % width for r in range(depth)]) for a, b in map(blake_pair, names)]

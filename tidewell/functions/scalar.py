@@ -1,4 +1,4 @@
-"""Column functions of the event model: JSON fields, days, hashes and composite keys. All stay in generated code."""
+"""Column functions of the event model: JSON fields, days, hashes and composite keys. All are built-in functions."""
 
 from __future__ import annotations
 
@@ -21,6 +21,12 @@ def normalized(at: Column) -> Column:
     return F.try_to_timestamp(at)
 
 
+def url_part(text: Column) -> Column:
+    """A text percent-encoded as a part of a URL: all but letters, digits and - . _ ~ as the hex digits of its UTF-8 bytes."""
+    form = F.url_encode(text)  # of forms, which write some characters otherwise
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def hex64(item: Column) -> Column:
     """The first 64 bits of an md5 as 16 hex digits, which sort as the unsigned number."""
     return F.substring(F.md5(item.cast("binary")), 1, 16)

@@ -23,11 +23,18 @@ def ring(spark: SparkSession, nodes: list[str], vnodes: int = 160) -> DataFrame:
 def route(keys: DataFrame, key: str, ring_rows: DataFrame) -> DataFrame:
     """Keys with the node of the first place after their hash, from the last place on to the first.
 
-    The ring is a sorted array in a row of its own, so a lookup is a pass over it in generated code, without a range join.
+    The ring is cut by the first byte of a place into 256 rows, each with its places in order and the node that follows
+    them, so a lookup is a broadcast equality join (256 rows, nodes * vnodes places) and a look at a few places.
     """
-    places = ring_rows.agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("ring"))
-    after = F.transform(F.array(hex64(F.col(key))), lambda h: F.try_element_at(F.filter("ring", lambda x: x["pos"] > h), F.lit(1))["node"])[0]  # hashed once a row
-    return keys.crossJoin(F.broadcast(places)).withColumn("node", F.coalesce(after, F.col("ring")[0]["node"])).drop("ring")
+    ordered = ring_rows.agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("ring"))
+    byte = F.lower(F.lpad(F.hex(F.col("id")), 2, "0"))
+    cut = ordered.crossJoin(ring_rows.sparkSession.range(256).select(byte.alias("__byte")))  # one row beside 256
+    here = F.filter("ring", lambda x: F.substring(x["pos"], 1, 2) == F.col("__byte"))
+    then = F.coalesce(F.try_element_at(F.filter("ring", lambda x: F.substring(x["pos"], 1, 2) > F.col("__byte")), F.lit(1)), F.col("ring")[0])["node"]
+    cut = cut.select("__byte", here.alias("__here"), then.alias("__then"))
+    hashed = keys.withColumn("__h", hex64(F.col(key))).withColumn("__byte", F.substring("__h", 1, 2))
+    found = F.try_element_at(F.filter("__here", lambda x: x["pos"] > F.col("__h")), F.lit(1))["node"]
+    return hashed.join(F.broadcast(cut), "__byte", "left").withColumn("node", F.coalesce(found, "__then")).drop("__h", "__byte", "__here", "__then")
 
 
 def greedy(df: DataFrame, keys: list[str], order: str, size: str, most: int, entries: int | None = None) -> DataFrame:

@@ -23,6 +23,21 @@ def valid_requests(events: DataFrame, valid: Column, request: str) -> DataFrame:
     return events.groupBy(request).agg(F.count("*").alias("events"), F.bool_and(valid).alias("accepted"))
 
 
+#: Fixed value: events that a request may have.
+MOST_EVENTS = 500
+
+
+def outcomes(requests: DataFrame, known: Column, valid: Column, events: Column, *, oversized: Column | None = None, allowed: Column | None = None, retry_after_ms: Column | None = None, most: int = MOST_EVENTS) -> DataFrame:
+    """Requests with the `status` that a client gets: 401 without a valid key, 422 for a bad or empty request, 413 for one
+    with too many events, for one that no bucket can ever hold and for an event above a message's size, 429 while the
+    bucket is too empty, else 202. The rules hold in this order."""
+    never = F.lit(False) if retry_after_ms is None else F.coalesce(retry_after_ms < 0, F.lit(False))
+    passes = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(True))
+    big = F.lit(False) if oversized is None else F.coalesce(oversized, F.lit(False))
+    status = F.when(~F.coalesce(known, F.lit(False)), 401).when(~F.coalesce(valid, F.lit(False)) | (events < 1), 422).when(events > most, 413)
+    return requests.withColumn("status", status.when(~passes & never, 413).when(~passes, 429).when(big, 413).otherwise(202))
+
+
 def oversized(events: DataFrame, size: Column, limit: int = 200_000) -> DataFrame:
     """Events whose JSON text and a comma are longer than a message may be."""
     return events.where(size + 1 > limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import codecs
 from tidewell.functions.bounds import cms_bounds, cms_size, hll_alpha, hll_error
-from tidewell.functions.scalar import instant_text, item_key, json_string, normalized, write_shard
+from tidewell.functions.scalar import instant_text, item_key, json_string, normalized, url_part, write_shard
 from tidewell.operators import ingest, metrics, routing, sketches, validate
 from tidewell.plans import stats
 from tidewell.session import shared_folder
@@ -270,6 +270,25 @@ def validate_batches(spark, d):
     return validate.valid_requests(_wire(spark, d), validate.valid_event(*[F.col(c) for c in ("event_id", "name", "distinct_id", "properties", "occurred_at")]), "request")
 
 
+@query(f"""WITH {EV}, r AS (SELECT n // 700 AS request, tenant_id, CAST(count(*) AS BIGINT) AS events, bool_and(n % 97 <> 0 OR n % 2 = 0) AS fine FROM ev GROUP BY 1, 2)
+SELECT request, tenant_id, events, CAST(CASE WHEN tenant_id NOT IN ('t0', 't1', 't2') THEN 401 WHEN NOT fine THEN 422 WHEN events > 180 THEN 413 ELSE 202 END AS INTEGER) AS status FROM r""")
+def request_outcomes(spark, d):
+    """What a tenant's requests are answered: t3's key is revoked, some have a bad event, some more events than the 180 set here."""
+    ev = src.canonical(spark, d)
+    ev = ev.withColumn("event_id", F.when((F.col("n") % 97 == 0) & (F.col("n") % 2 != 0), "nope").otherwise(F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad("event_id", 12, "0"))))
+    ok = validate.valid_event(F.col("event_id"), F.col("name"), F.col("distinct_id"), F.col("properties"), instant_text(F.col("occurred_at")))
+    rows = ev.groupBy(F.expr("n div 700").alias("request"), "tenant_id").agg(F.count("*").alias("events"), F.bool_and(ok).alias("fine"))
+    keys = src.api_keys(spark).where("revoked_at is null").select("tenant_id", F.lit(True).alias("known"))
+    rows = rows.join(F.broadcast(keys), "tenant_id", "left")  # a row for each key, five here
+    return validate.outcomes(rows, F.col("known"), F.col("fine"), F.col("events"), most=180).select("request", "tenant_id", "events", "status")
+
+
+@query("SELECT DISTINCT p_name || '#/ ~*+%é' || p_brand AS text, url_encode(p_name || '#/ ~*+%é' || p_brand) AS part FROM part")
+def url_parts(spark, d):
+    text = F.concat(F.col("p_name"), F.lit("#/ ~*+%é"), F.col("p_brand"))
+    return src.table(spark, d, "part").select(text.alias("text")).distinct().withColumn("part", url_part(F.col("text")))
+
+
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     """A line for each batch; every ninth is cut short."""
     ev = src.canonical(spark, d)
@@ -330,6 +349,20 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return sketches.sketch_items(src.canonical(spark, d))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    """The stored sketch states of the test data, partitioned by tenant and day. They are written once in an application, as ingestion would have done."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _stored:
+        path = f"{_scratch(spark)}/states"
+        rows = sketches.states(_items(spark, d))
+        rows.repartition("tenant_id", "day").write.partitionBy("tenant_id", "day").parquet(path)
+        _stored[at] = path
+    return src.configured(spark).read.schema(sketches.STATES).parquet(_stored[at])
+
+
 @query(f"WITH {ITEMS} SELECT * FROM items")
 def sketch_items(spark, d):
     return _items(spark, d)
@@ -476,8 +509,7 @@ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cou
 
 
 def _approximate(spark: SparkSession, d: str) -> DataFrame:
-    ev = src.canonical(spark, d)
-    return stats.approximate(sketches.hll_registers(ev, "distinct_id", ["tenant_id", "day"]), sketches.sketch_items(ev), TENANT, START, END)
+    return stats.approximate(_states(spark, d), TENANT, START, END)
 
 
 def _flat(one: DataFrame) -> DataFrame:
@@ -492,14 +524,57 @@ def stats_approx(spark, d):
     return _flat(_approximate(spark, d))
 
 
-@query(f"""{_APPROX}, x AS (SELECT count(*) AS events, count(DISTINCT distinct_id) AS users FROM ev WHERE {IN_RANGE})
-SELECT (SELECT CAST(sum(count) AS BIGINT) FROM c WHERE kind = 'events') = x.events AS events_equal, abs((SELECT round_even(estimate, 0) FROM e) - x.users) <= 0.03 * x.users AS users_close, true AS top_equal FROM x""")
+_LISTS = """SELECT kind, list(struct_pack(key := key, count := count) ORDER BY rank) AS ranked"""
+
+
+@query(f"""{_APPROX}, x AS (SELECT count(*) AS events, count(DISTINCT distinct_id) AS users FROM ev WHERE {IN_RANGE}),
+raw AS (SELECT 'events' AS kind, name AS key FROM ev WHERE {IN_RANGE} UNION ALL SELECT 'pages', {PAGE} FROM ev WHERE {IN_RANGE} AND name = 'page_view' AND {PAGE} IS NOT NULL),
+rc AS (SELECT kind, key, CAST(count(*) AS BIGINT) AS count FROM raw GROUP BY ALL), rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY count DESC, key) AS rank FROM rc) WHERE rank <= 10),
+a AS ({_LISTS} FROM t GROUP BY 1), b AS ({_LISTS} FROM rt GROUP BY 1)
+SELECT (SELECT CAST(sum(count) AS BIGINT) FROM c WHERE kind = 'events') = x.events AS events_equal, abs((SELECT round_even(estimate, 0) FROM e) - x.users) <= 0.03 * x.users AS users_close,
+(SELECT bool_and(a.ranked = b.ranked) AND count(*) = (SELECT count(*) FROM b) FROM a JOIN b USING (kind)) AS top_equal FROM x""")
 def approx_vs_exact(spark, d):
     a, b = _approximate(spark, d), stats.stats(src.canonical(spark, d), TENANT, START, END)
     b = b.select(*[F.col(c).alias(f"x_{c}") for c in b.columns])
     return a.crossJoin(b).select((F.col("events") == F.col("x_events")).alias("events_equal"), (F.abs(F.col("unique_users") - F.col("x_unique_users")) <= 0.03 * F.col("x_unique_users")).alias("users_close"), ((F.col("top_events") == F.col("x_top_events")) & (F.col("top_pages") == F.col("x_top_pages"))).alias("top_equal"))
 
 
+_SW, _SD, _SK = sketches.WIDTH, sketches.DEPTH, sketches.K
+_POS = f"(CAST(CAST('0x' || substr(md5(item), 1, 8) AS UBIGINT) AS BIGINT) + r * (CAST(CAST('0x' || substr(md5(item), 9, 8) AS UBIGINT) AS BIGINT) | 1)) % {_SW}"
+_TOP = f"""counted AS (SELECT * FROM items WHERE kind <> 'users'), cells AS ({cells_sql('counted', 'tenant_id, day, kind', _SW, _SD)}),
+cand AS (SELECT tenant_id, day, kind, item FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, day, kind ORDER BY n DESC, item) AS nth FROM counted) WHERE nth <= {_SK}),
+pool AS (SELECT DISTINCT tenant_id, kind, item FROM cand), whole AS (SELECT tenant_id, kind, row, col, sum(total) AS total FROM cells GROUP BY ALL),
+est AS (SELECT p.tenant_id, p.kind, p.item, CAST(min(w.total) AS BIGINT) AS n FROM (SELECT pool.*, CAST(r AS INTEGER) AS row, {_POS} AS col FROM pool, range({_SD}) x(r)) p JOIN whole w USING (tenant_id, kind, row, col) GROUP BY ALL)"""
+
+
+@query(f"WITH {ITEMS}, {_TOP}, u AS (SELECT tenant_id, day, 'users' AS kind, count(*) AS used FROM ({registers_sql('ev', 'distinct_id', 'tenant_id, day', 14)}) GROUP BY ALL UNION ALL SELECT tenant_id, day, kind, count(*) FROM cells GROUP BY ALL) "
+       "SELECT tenant_id, day, kind, CAST(used AS INTEGER) AS used, CAST((SELECT sum(n) FROM items i WHERE i.tenant_id = u.tenant_id AND i.day = u.day AND i.kind = u.kind) AS BIGINT) AS total, coalesce((SELECT string_agg(item, ',' ORDER BY item) FROM cand c WHERE c.tenant_id = u.tenant_id AND c.day = u.day AND c.kind = u.kind), '') AS names FROM u")
+def sketch_states(spark, d):
+    """Each stored state: registers or cells in use, its total, and the names of its top-k candidates, twenty at most."""
+    return _states(spark, d).select("tenant_id", "day", "kind", F.size("cells").alias("used"), "total", F.array_join("names", ",").alias("names"))
+
+
+@query(f"WITH {ITEMS}, {_TOP} SELECT tenant_id, kind, item, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, kind ORDER BY n DESC, item) AS rank FROM est) WHERE rank <= 10")
+def topk_sketch(spark, d):
+    """Top ten of each tenant over all days: pooled candidates of the daily states, counted in their merged Count-Min cells."""
+    each = sketches.estimates(_states(spark, d), ["tenant_id", "kind"]).where("kind <> 'users'")
+    rows = each.select("tenant_id", "kind", F.posexplode(F.slice("ranked", 1, 10)).alias("rank", "x"))
+    return rows.select("tenant_id", "kind", F.col("x.item").alias("item"), F.col("x.n").alias("n"), (F.col("rank") + 1).alias("rank"))
+
+
+@query(f"""WITH {_PARTS}, c AS ({cells_sql('items', '', _SW, _SD)}), q AS (SELECT item, CAST(r AS INTEGER) AS row, {_POS} AS col FROM items, range({_SD}) x(r)),
+est AS (SELECT item, CAST(min(total) AS BIGINT) AS estimate FROM q JOIN c USING (row, col) GROUP BY 1),
+a AS (SELECT item, row_number() OVER (ORDER BY estimate DESC, item) AS rank FROM est), b AS (SELECT item, n, row_number() OVER (ORDER BY n DESC, item) AS rank FROM items)
+SELECT CAST(b.rank AS INTEGER) AS rank, b.item, b.n, a.item AS found, a.item = b.item AS same FROM a JOIN b USING (rank) WHERE rank <= 10""")
+def topk_order(spark, d):
+    """The ten largest parts, exactly and by the engine's sketch, place by place."""
+    items = src.table(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("item")).agg(F.count("*").alias("n"))
+    est = sketches.cms_estimate(sketches.cms_cells(items, "item", "n", [], _SW, _SD), items, "item", [], _SW, _SD)
+    a = sketches.top(est.withColumn("k", F.lit(0)), ["k"], "item", "estimate", 10).select("rank", F.col("item").alias("found"))
+    b = sketches.top(items.withColumn("k", F.lit(0)), ["k"], "item", "n", 10).select("rank", "item", "n")
+    return b.join(a, "rank").select("rank", "item", "n", "found", (F.col("found") == F.col("item")).alias("same"))
+
+
 _STATE = "state AS (SELECT tenant_id, day, kind, CAST(sum(CASE WHEN kind = 'pages' AND day = DATE '2024-01-07' THEN NULL ELSE n END) AS BIGINT) AS data FROM items GROUP BY 1, 2, 3)"
 
 
@@ -520,12 +595,18 @@ def sketch_touch(spark, d):
     return _state(spark, d).join(keys, ["tenant_id", "day", "kind"])
 
 
-@query(f"WITH {EV}, o AS (SELECT tenant_id, day, count(*) AS n FROM ev WHERE n < 4000 GROUP BY 1, 2), w AS (SELECT tenant_id, day, count(*) AS n FROM ev WHERE n >= 4000 GROUP BY 1, 2) SELECT tenant_id, day, CAST(coalesce(o.n, 0) + coalesce(w.n, 0) AS BIGINT) AS total FROM o FULL JOIN w USING (tenant_id, day)")
+@query(f"WITH {ITEMS}, {_TOP}, u AS (SELECT tenant_id, day, 'users' AS kind, count(*) AS used, max(rank) AS largest FROM ({registers_sql('ev', 'distinct_id', 'tenant_id, day', 14)}) GROUP BY ALL UNION ALL SELECT tenant_id, day, kind, count(*), max(total) FROM cells GROUP BY ALL) "
+       "SELECT tenant_id, day, kind, CAST(used AS INTEGER) AS used, CAST(largest AS BIGINT) AS largest, CAST((SELECT sum(n) FROM items i WHERE i.tenant_id = u.tenant_id AND i.day = u.day AND i.kind = u.kind) AS BIGINT) AS total FROM u")
 def sketch_upsert(spark, d):
-    """States with new counts added; a key without a state begins with an empty one."""
+    """Stored states with those of new events merged in and written back; a key without a state begins with an empty one."""
     ev = src.canonical(spark, d)
-    count = lambda df, c: df.groupBy("tenant_id", "day").agg(F.count("*").alias(c))
-    return count(ev.where("n < 4000"), "o").join(count(ev.where("n >= 4000"), "w"), ["tenant_id", "day"], "full_outer").select("tenant_id", "day", (F.coalesce("o", F.lit(0)) + F.coalesce("w", F.lit(0))).alias("total"))
+    path = f"{_scratch(spark)}/upsert"
+    for part in (ev.where("n < 4000"), ev.where("n >= 4000")):
+        new = sketches.states(sketches.sketch_items(part))
+        new.write.mode("append").partitionBy("day").parquet(f"{path}/deltas")
+    sketches.merged(spark.read.schema(sketches.STATES).parquet(f"{path}/deltas")).write.partitionBy("day").parquet(f"{path}/merged")
+    rows = spark.read.schema(sketches.STATES).parquet(f"{path}/merged")
+    return rows.select("tenant_id", "day", "kind", F.size("cells").alias("used"), F.array_max(F.transform("cells", lambda c: c["v"])).alias("largest"), "total")
 
 
 # Routing, chunks and limits
@@ -613,6 +694,14 @@ def metric_windows(spark, d):
     return w.select("tenant_id", instant_text(F.col("start")).alias("start"), "n", F.round("total", 4).alias("total"), "least", "most", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p99")])
 
 
+@query(f"WITH {EV}, w AS (SELECT *, unnest([60, 300]) AS seconds FROM ev) SELECT CAST(seconds AS INTEGER) AS seconds, strftime(time_bucket(to_seconds(seconds), occurred_at), '%Y-%m-%d %H:%M:%S.%f') AS start, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM w GROUP BY 1, 2")
+def metric_windows_short(spark, d):
+    """Windows of one and of five minutes, as monitors use them."""
+    ev = src.canonical(spark, d)
+    each = [metrics.windows(ev, "occurred_at", "value", f"{n} seconds", []).select(F.lit(n).alias("seconds"), instant_text(F.col("start")).alias("start"), "n", F.round("total", 4).alias("total"), "least", "most", F.round("mean", 6).alias("mean")) for n in (60, 300)]
+    return each[0].union(each[1])
+
+
 @query(f"WITH {EV} SELECT tenant_id, CAST(count(*) FILTER (name = 'error') AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS requests, 100.0::DOUBLE * count(*) FILTER (name = 'error') / greatest(count(*), 1) AS error_rate FROM ev GROUP BY 1")
 def error_rate(spark, d):
     return metrics.rate(src.canonical(spark, d), F.col("name") == "error", ["tenant_id"])
@@ -697,15 +786,42 @@ def _stream(spark: SparkSession, d: str, crash_at: str | None) -> tuple[str, str
     return root, f"{root}/tables"
 
 
-@query()
+_LIVE = f"""{EV}, m AS (SELECT batch_id, min(tenant_id) AS tenant_id, CAST(max(occurred_at) AS DATE) AS received_day FROM ev WHERE batch_id % 9 <> 4 GROUP BY 1),
+live AS (SELECT ev.* EXCLUDE (tenant_id, received_day), m.tenant_id, m.received_day FROM ev JOIN m USING (batch_id))"""
+
+
+@query(f"WITH {_LIVE} SELECT tenant_id, received_day, CAST(count(*) AS BIGINT) AS event_count FROM live GROUP BY 1, 2")
 def pipeline_stream(spark, d):
     """Billed usage after all messages, a seventh of them twice, ran through the stream."""
     return pipeline.usage(spark, _stream(spark, d, None)[1])
 
 
-@query()
+@query(f"WITH {_LIVE} SELECT CAST(count(*) AS BIGINT) AS stored, CAST(count(DISTINCT (tenant_id, event_id, occurred_at)) AS BIGINT) AS unique_events, CAST(count(*) AS BIGINT) AS billed FROM live")
 def exactly_once_replay(spark, d):
     """Stored, distinct and billed events after a run that crashed twice between writing and publishing."""
     root = _stream(spark, d, "written")[1]
     stored = pipeline.read(spark, root, "events").agg(F.count("*").alias("stored"), F.countDistinct("tenant_id", "event_id", "occurred_at").alias("unique_events"))
     return stored.crossJoin(pipeline.read(spark, root, "usage").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("billed")))
+
+
+@query(f"""WITH {_LIVE}, pages AS (SELECT tenant_id, {PAGE} AS page, count(*) AS n FROM live WHERE name = 'page_view' AND {PAGE} IS NOT NULL GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC, page) AS nth FROM pages) WHERE nth <= 10),
+r AS ({registers_sql('live', 'distinct_id', 'tenant_id', 14)}), e AS ({estimate_sql('r', 'tenant_id', 14)}), t AS (SELECT tenant_id, CAST(count(*) AS BIGINT) AS events, count(DISTINCT distinct_id) AS users FROM live GROUP BY 1)
+SELECT t.tenant_id, t.events AS sent, t.events AS stored, t.events AS billed, t.events AS in_sketch, CAST((SELECT sum(n) FROM pages WHERE pages.tenant_id = t.tenant_id) AS BIGINT) AS pages_in_sketch,
+abs(e.estimate - t.users) <= 0.02 * t.users AS users_close, (SELECT string_agg(page, ',' ORDER BY nth) FROM best WHERE best.tenant_id = t.tenant_id) AS top_pages, CAST(0 AS BIGINT) AS waiting FROM t JOIN e USING (tenant_id)""")
+def chaos_invariants(spark, d):
+    """What must agree by tenant after a run that crashed: events sent, stored, billed and in sketches, users within 2 %, the ten top pages in order; and lines still waiting."""
+    root = _stream(spark, d, "stored")[1]
+    pipeline.redeliver(spark, root)
+    pipeline.compact(spark, root)
+    sent = validate.parsed(_messages(spark, d)).where("message is not null").select("message.tenant_id", F.explode("message.events").alias("e"))
+    sent = sent.groupBy("tenant_id").agg(F.countDistinct("e.event_id").alias("sent"), F.countDistinct("e.distinct_id").alias("exact"))
+    stored = pipeline.read(spark, root, "events").groupBy("tenant_id").agg(F.count("*").alias("stored"))
+    billed = pipeline.read(spark, root, "usage").groupBy("tenant_id").agg(F.sum("n").alias("billed"))
+    each = sketches.estimates(pipeline.states(spark, root), ["tenant_id", "kind"])
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
+    best = F.concat_ws(",", F.transform(F.slice("ranked", 1, 10), lambda x: x["item"]))
+    each = each.groupBy("tenant_id").agg(of("events", F.col("total")).alias("in_sketch"), of("pages", F.col("total")).alias("pages_in_sketch"), of("users", F.col("users")).alias("users"), of("pages", best).alias("top_pages"))
+    last = pipeline._pending(spark, root, "main").count()
+    out = sent.join(stored, "tenant_id", "left").join(billed, "tenant_id", "left").join(each, "tenant_id", "left")
+    return out.select("tenant_id", "sent", "stored", "billed", "in_sketch", "pages_in_sketch", (F.abs(F.col("users") - F.col("exact")) <= 0.02 * F.col("exact")).alias("users_close"), "top_pages", F.lit(last).cast("bigint").alias("waiting"))

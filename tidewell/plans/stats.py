@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.bounds import hll_error
 from tidewell.functions.scalar import json_string
-from tidewell.operators.sketches import hll_estimate, hll_merge, top
+from tidewell.operators.sketches import estimates
 from tidewell.operators.validate import check_range
 from tidewell.sources.events import scan
 
@@ -25,35 +25,37 @@ def top_pages(df: DataFrame, limit: int = 10) -> DataFrame:
     return pages.groupBy("key").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "key").limit(limit)
 
 
-def _row(start: str, end: str, approximate: bool, one: DataFrame, events: DataFrame, pages: DataFrame) -> DataFrame:
+def _row(start: str, end: str, one: DataFrame, events: DataFrame, pages: DataFrame) -> DataFrame:
     listed = lambda df, name: df.agg(F.expr("transform(array_sort(collect_list(struct(-count as c, key))), x -> struct(x.key as key, -x.c as count))").alias(name))
     out = one.crossJoin(listed(events, "top_events")).crossJoin(listed(pages, "top_pages"))  # of one row each
-    return out.select(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"), F.lit(approximate).alias("approximate"), "events", "unique_users", "top_events", "top_pages")
+    return out.select(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"), F.lit(False).alias("approximate"), "events", "unique_users", "top_events", "top_pages")
 
 
 def stats(ev: DataFrame, tenant: str, start: str, end: str, *, limit: int = 10, most_days: int = 31) -> DataFrame:
     """The exact answer, one row, from a scan of the range."""
     check_range(start, end, limit, most_days=most_days)
     df = scan(ev, tenant, start, end)
-    return _row(start, end, False, totals(df), top_events(df, limit), top_pages(df, limit))
+    return _row(start, end, totals(df), top_events(df, limit), top_pages(df, limit))
 
 
 def in_days(rollup: DataFrame, tenant: str, start: str, end: str) -> DataFrame:
-    return rollup.where((F.col("tenant_id") == tenant) & F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Rows of a tenant and of days; where they have instants, also as a half-open range of them, which raw files can use."""
+    out = rollup.where((F.col("tenant_id") == tenant) & F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return scan(out, tenant, start, end) if "occurred_at" in rollup.columns else out
 
 
-def approximate(registers: DataFrame, counts: DataFrame, tenant: str, start: str, end: str, *, limit: int = 10, p: int = 14) -> DataFrame:
-    """The approximate answer from daily rollups: users from merged registers, the rest from merged daily counts.
+def approximate(states: DataFrame, tenant: str, start: str, end: str, *, limit: int = 10) -> DataFrame:
+    """The approximate answer from stored states: users from merged registers, the rest from merged Count-Min cells. Events are exact.
 
-    registers: tenant, day, idx, rank. counts: tenant, day, kind, item, n. Events are exact.
+    A range has at most 366 days of three bounded states, so it is read as one partition and merged there without a shuffle.
+    States of other parameters than the engine's are an error.
     """
     check_range(start, end, limit)
-    merged = hll_merge(in_days(registers, tenant, start, end), ["tenant_id"])
-    users = hll_estimate(merged, ["tenant_id"], p).agg(F.coalesce(F.bround(F.max("estimate")), F.lit(0.0)).cast("bigint").alias("unique_users"))
-    c = in_days(counts, tenant, start, end).where("kind <> 'users'").groupBy("kind", F.col("item").alias("key")).agg(F.sum("n").alias("count"))
-    events = c.where("kind = 'events'").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("events"))
-    ranked = top(c, ["kind"], "key", "count", limit)
-    return _row(start, end, True, events.crossJoin(users), ranked.where("kind = 'events'"), ranked.where("kind = 'pages'"))
+    each = estimates(in_days(states, tenant, start, end).coalesce(1), ["kind"])
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    listed = lambda kind: F.transform(F.slice(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("ranked")))), 1, limit), lambda x: F.struct(x["item"].alias("key"), x["n"].alias("count")))
+    out = each.agg(F.coalesce(of("events", "total"), F.lit(0)).alias("events"), F.coalesce(F.bround(of("users", "users")), F.lit(0.0)).cast("bigint").alias("unique_users"), listed("events").alias("top_events"), listed("pages").alias("top_pages"))
+    return out.select(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"), F.lit(True).alias("approximate"), "events", "unique_users", "top_events", "top_pages")
 
 
 def band(estimate: DataFrame, p: int = 14) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Schema versions and dimension rows: ordered, checksummed migrations, and new tenants with their keys."""
+"""Schema versions and dimension rows: ordered, checksummed migrations, new tenants with their keys, and a cache of key lookups."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import secrets
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.session import configured
 from tidewell.sources.events import API_KEYS, TENANTS
@@ -57,3 +59,31 @@ def create_tenant(spark: SparkSession, root: str, tenant: str, name: str, plan:
     put((hashed[:32], tenant, "default", prefix, hashed, now, None), API_KEYS, "api_keys")
     put((tenant, name, plan, rate, burst, now), TENANTS, "tenants")
     return key
+
+
+def find_key(root_keys: DataFrame, tenants: DataFrame, key: str) -> Row | None:
+    """The tenant of a key that is known and not revoked."""
+    if not key.startswith(PREFIX):
+        return None
+    one = root_keys.where((F.col("key_hash") == hashlib.sha256(key.encode()).hexdigest()) & F.col("revoked_at").isNull())
+    return one.select(F.col("tenant_id").alias("id")).join(tenants, "id").select("id", "rate_limit_per_sec", "rate_limit_burst").first()
+
+
+class KeyCache:
+    """Answers of a lookup, found or not, for some seconds: so long may a revoked key still pass. It holds a bounded number of them."""
+
+    def __init__(self, look_up: Callable[[str], Row | None], seconds: float = 30.0, most: int = 10_000, clock: Callable[[], float] = time.monotonic) -> None:
+        self.look_up, self.seconds, self.most, self.clock = look_up, seconds, most, clock
+        self.held: dict[str, tuple[float, Row | None]] = {}
+
+    def get(self, key: str) -> Row | None:
+        name, now = hashlib.sha256(key.encode()).hexdigest(), self.clock()
+        if name in self.held and self.held[name][0] > now:
+            return self.held[name][1]
+        answer = self.look_up(key)
+        if len(self.held) >= self.most:
+            self.held = {k: v for k, v in self.held.items() if v[0] > now}
+        if len(self.held) >= self.most:
+            self.held = {}
+        self.held[name] = (now + self.seconds, answer)
+        return answer

@@ -70,12 +70,13 @@ def write_events(df: DataFrame, path: str) -> None:
 
 
 def scan(df: DataFrame, tenant: str, start: str, end: str) -> DataFrame:
-    """Events of a tenant whose days lie in [start, end], as a half-open range of instants, which reaches the file scan."""
-    low, high = F.lit(start).cast("date"), F.date_add(F.lit(end).cast("date"), 1)
-    return df.where((F.col("tenant_id") == tenant) & (F.col("occurred_at") >= low.cast("timestamp_ntz")) & (F.col("occurred_at") < high.cast("timestamp_ntz")))
+    """Events of a tenant whose days lie in [start, end]: by day, which prunes partitions, and as a half-open range of instants, which reaches the file scan."""
+    low, high, kind = F.lit(start).cast("date"), F.date_add(F.lit(end).cast("date"), 1), df.schema["occurred_at"].dataType.simpleString()
+    kept = (F.col("tenant_id") == tenant) & (F.col("occurred_at") >= low.cast(kind)) & (F.col("occurred_at") < high.cast(kind))
+    return df.where(kept & F.col("day").between(low, F.lit(end).cast("date")) if "day" in df.columns else kept)
 
 
-def read_envelopes(spark: SparkSession, path: str, *, stream: bool = False, per_trigger: int = 10) -> DataFrame:
-    """Messages as lines of text with a place to keep those that can't be read; as a stream, so many files at a time."""
+def read_envelopes(spark: SparkSession, path: str, *, stream: bool = False, per_trigger: int = 10, shards: list[str] | None = None) -> DataFrame:
+    """Messages as lines of text; as a stream, so many files at a time; of all shards, or of some of them."""
     reader = configured(spark).readStream.option("maxFilesPerTrigger", per_trigger) if stream else configured(spark).read
-    return reader.format("text").load(path)
+    return reader.schema("value string").format("text").load(f"{path}/shard={{{','.join(shards)}}}" if shards else path).select("value")
