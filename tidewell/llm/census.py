@@ -2,13 +2,17 @@
 
 A task cuts what it reads into flushes of a bounded size. Of each flush the distinct keys and their counts go to buckets,
 so a key that a third of all rows hold costs one entry for each flush. A bucket adds the counts up and sends each flush
-its totals; there they meet what the flush had set aside for itself, which travels with one of its blocks. No task ever
-holds more than a flush, or a bucket's share of the distinct keys of all flushes.
+its totals; there they meet what the flush had set aside for itself, which travels with one of its blocks.
+
+Buckets are as many as the keys ask for, so a task holds a flush or a bucket of a size that does not grow with the input
+until there are 65,536 buckets; beyond, buckets grow to 8 million keys. Flushes grow with the number of buckets, so that
+a block of one for the other holds 64 keys, up to 4 million keys. (From some 10 TB on, blocks hold fewer keys.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,13 +26,30 @@ from tidewell.llm.packed import expand, framed, squeeze, unframed
 Flush = tuple[np.ndarray, bytes]
 
 
-def census(df: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[Flush]], finish: Callable[[bytes, np.ndarray, np.ndarray], pd.DataFrame], schema: str, buckets: int) -> DataFrame:
+class Plan(NamedTuple):
+    """Numbers of buckets and of flushes, about, and keys of a flush."""
+
+    buckets: int
+    flushes: int
+    held: int
+
+
+def plan(keys: int, least: int, held: int = 1 << 19) -> Plan:
+    """For so many keys of all flushes, distinct in each, and so many tasks at least."""
+    buckets = max(least, -(-keys // min(1 << 23, max(1 << 18, keys >> 16))))
+    held = min(1 << 22, max(held, 64 * buckets))
+    return Plan(buckets, max(least, -(-keys // held)), held)
+
+
+def census(df: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[Flush]], finish: Callable[[bytes, np.ndarray, np.ndarray], pd.DataFrame], schema: str, sizes: Plan) -> DataFrame:
     """Rows of finish(kept, totals, keys) of every flush.
 
     cut gives flushes of keys, which are hashes and may repeat, and what to keep for them. totals has the count of each of
     these keys over all flushes, in their order; keys has the keys whose total is above 1, and 0 for the others.
     """
 
+    buckets = sizes.buckets
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
         for keys, kept in cut(batches):
@@ -71,5 +92,5 @@ def census(df: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[Flu
         return finish(kept, total[place], keys[place])
 
     rows = df.mapInArrow(sent, "bucket long, flush long, counts binary, kept binary")
-    rows = rows.groupBy("bucket").applyInPandas(added, "bucket long, flush long, totals binary, kept binary")
-    return rows.groupBy("flush").applyInPandas(gathered, schema)
+    rows = rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(added, "bucket long, flush long, totals binary, kept binary")
+    return rows.repartition(sizes.flushes, "flush").groupBy("flush").applyInPandas(gathered, schema)

@@ -9,8 +9,8 @@ A text's losses are the means over its words of -ln p under either model, and it
 background: the smaller, the more it is like the target.
 
 Words and bigrams are 64-bit hashes, and nothing grows with the vocabulary but what is shuffled. The distinct words and
-bigrams of some thousand texts of one corpus, a flush, go with their counts to buckets, which add them up for both corpora
-and send each flush of the background its totals. There they meet the flush's words, which travel with one of its blocks,
+bigrams of some thousand texts of one corpus, a flush, go with their counts to buckets, as many as the words ask for,
+which add them up for both corpora and send each flush of the background its totals. There they meet the flush's words, which travel with one of its blocks,
 and the losses are summed in double precision. Only V, N and the numbers of texts reach the driver. Texts take part under
 their hash, so that copies share a result.
 
@@ -30,11 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.census import plan
 from tidewell.llm.common import LOWER, STEP, SYMBOL, U8, by_bytes, mix, parts, prepare, signed, text_bytes, word_hashes, words
 from tidewell.llm.packed import expand, framed, squeeze, unframed
 
-#: Words of a flush, about.
-HELD = 1 << 19
 _START = U8(0x8EBC6AF09C88C6E3)
 
 
@@ -55,7 +54,6 @@ def grams(known: np.ndarray, ids: np.ndarray, length: np.ndarray, buckets: int)
 def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", target_text: str = "text", mu: float = 10.0) -> DataFrame:
     """Per row of docs: key, n_words, target_loss, background_loss, difference. docs are the background corpus."""
     spark = prepare(docs.sparkSession)
-    buckets = 2 * parts(spark)
     pick = lambda df, c: df.select(F.coalesce(F.col(c), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     both = pick(docs, text).withColumn("side", F.lit(0)).union(pick(target, target_text).withColumn("side", F.lit(1)))
 
@@ -76,6 +74,7 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
     distinct, *total = counts.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     texts = both.agg(F.coalesce(F.sum(1 - F.col("side")), F.lit(0)), F.coalesce(F.sum("side"), F.lit(0))).first()
     size = distinct + 1
+    buckets, flushes, held_words = plan(sum(total), 2 * parts(spark))  # a flush has about as many distinct words and bigrams as words
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
@@ -111,7 +110,7 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
                     length = np.diff(bound)
                     if len(s):
                         held[side].append((word_hashes(low, s, e), length[length > 0], own[i:j][length > 0]))
-                    if sum(len(x[0]) for x in held[side]) > HELD:
+                    if sum(len(x[0]) for x in held[side]) > held_words:
                         yield flush(side)
         for side in (0, 1):
             if held[side]:
@@ -146,7 +145,7 @@ def score(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str
             out.append(np.bincount(row, loss[of]) / length)
         return pd.DataFrame({"h": np.frombuffer(own, np.int64), "n": length, "t": out[1], "b": out[0]})
 
-    per = both.mapInArrow(packed, "bucket long, flush long, side int, counts binary, kept binary").groupBy("bucket").applyInPandas(added, "bucket long, flush long, totals binary, kept binary")
-    per = per.groupBy("flush").applyInPandas(losses, "h long, n long, t double, b double").groupBy("h").agg(*[F.min(c).alias(c) for c in "ntb"])
+    per = both.mapInArrow(packed, "bucket long, flush long, side int, counts binary, kept binary").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(added, "bucket long, flush long, totals binary, kept binary")
+    per = per.repartition(flushes, "flush").groupBy("flush").applyInPandas(losses, "h long, n long, t double, b double").groupBy("h").agg(*[F.min(c).alias(c) for c in "ntb"])
     out = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).join(per, "h", "left")
     return out.select(key, F.coalesce("n", F.lit(0)).alias("n_words"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("t") - F.col("b")).alias("difference"))

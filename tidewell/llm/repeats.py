@@ -7,8 +7,10 @@
    Of the others, those that differ though they share an anchor, each kind must be compared.
 3. Those contexts, cut out of their texts, meet by anchor, and the difference-cover algorithm sorts the suffixes of each
    bucket: it sorts and names the triples at two of three places, recurses on the names, merges the remaining suffixes,
-   and compares neighbours by their whole first `length` bytes. Windows found equal are repeats. An anchor that more than
-   `hot` contexts hold would fill a bucket; the windows of its contexts are counted by a second census instead.
+   and compares neighbours by their whole first `length` bytes. Windows found equal are repeats. Where an anchor has more
+   than `hot` contexts, their windows are dealt to families by the place of the anchor in them: two families for up to
+   twice as many contexts, four for four times, and so on. Equal windows are of one family and agree in all bytes that its
+   windows have in common, by which the family's pieces meet, so the sort of a hot anchor is spread over many buckets.
 4. A text's repeats from 2 and 3 are joined with it and united into spans.
 
 Each distinct text takes part under its hash; a text that occurs more than once is a repeat as a whole, so a group of
@@ -29,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.census import Flush, census
+from tidewell.llm.census import Flush, census, plan
 from tidewell.llm.common import U8, by_bytes, mix, parts, powers, prepare, saved, signed, string_hashes, sums, text_bytes
 from tidewell.llm.packed import expand, framed, squeeze, unframed
 from tidewell.llm.suffixes import repeated
 
-#: Contexts of a flush, about.
-HELD = 200_000
+#: Contexts of a bucket to sort, about.
+SORTED = 10_000
 _HALF = U8(0xFFFFFFFF)
 
 
@@ -83,16 +85,17 @@ def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[last]
 
 
-def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40, hot: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40, hot: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """(h, copies) of every distinct text, and (h, spans) of those with repeats that are not copies of a whole text.
 
     h is the 64-bit hash of a text; spans holds the starts and ends of its repeats as little-endian 64-bit integers.
     """
     spark = prepare(docs.sparkSession)
-    buckets = 2 * parts(spark)
-    fine = 8 * parts(spark)  # of contexts to sort, which need more memory for each byte
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    texts = saved(rows.groupBy("h").agg(F.count("*").alias("copies")))
+    texts = saved(rows.groupBy("h").agg(F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("size")))
+    total = texts.agg(F.sum("size")).first()[0] or 0
+    texts = texts.drop("size")
+    sizes = plan(4 * total // (length - gram + 1), 2 * parts(spark), 400_000)  # two keys for about every half window
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[Flush]:
         held: list[tuple] = []
@@ -115,7 +118,7 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
                 if len(row):
                     held.append((hashes[i + row], s, e, a, c))
                     total += len(row)
-                if total > HELD:
+                if 2 * total > sizes.held:
                     yield flush()
                     held, total = [], 0
             if len(seen) > 1 << 18:
@@ -132,26 +135,44 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
         same = np.flatnonzero(ask & (of_c > 1))
         ask[same] = False
         ask[same[np.unique(keys[n:][same], return_index=True)[1]]] = True  # the first of each kind
-        sign = (of_c > 1) + 2 * ask + 4 * (ask & (of_a > hot))
+        families = np.where(of_a > hot, 1 << np.ceil(np.log2(np.maximum(1, of_a / hot))).astype(np.int64), 1)
+        sign = (of_c > 1) + 2 * ask
         order = np.lexsort((s, doc))
         order = order[sign[order] > 0]
-        doc, s, e, sign, a = doc[order], s[order], e[order], sign[order], a[order]
+        doc, s, e, sign, a, families = doc[order], s[order], e[order], sign[order], a[order], families[order]
         cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(0, np.int64)
         out = []
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            t, q, w = sign[x:y] & 1 > 0, sign[x:y] & 6 == 2, sign[x:y] & 4 > 0
+            t, q = sign[x:y] & 1 > 0, sign[x:y] & 2 > 0
             start, end = united(s[x:y][t], e[x:y][t] + length)
-            asked = [np.stack([s[x:y][z], e[x:y][z], signed(a[x:y][z])], 1).astype("<i8").tobytes() for z in (q, w)]
-            out.append((int(doc[x : x + 1].view(np.int64)[0]), np.stack([start, end], 1).astype("<i8").tobytes(), *asked))
-        return pd.DataFrame(out, columns=["h", "spans", "asked", "hot"]).astype({"h": "int64"})
+            asked = np.stack([s[x:y][q], e[x:y][q], signed(a[x:y][q]), families[x:y][q]], 1).astype("<i8").tobytes()
+            out.append((int(doc[x : x + 1].view(np.int64)[0]), np.stack([start, end], 1).astype("<i8").tobytes(), asked))
+        return pd.DataFrame(out, columns=["h", "spans", "asked"]).astype({"h": "int64"})
 
-    known = census(rows, anchored, judged, "h long, spans binary, asked binary, hot binary", buckets)
+    known = census(rows, anchored, judged, "h long, spans binary, asked binary", sizes)
     # a text read by several tasks has a row of each, which may ask for different contexts
-    known = saved(known.groupBy("h").agg(F.first("spans").alias("spans"), F.collect_list("asked").alias("asked"), F.collect_list("hot").alias("hot")))
+    known = saved(known.groupBy("h").agg(F.first("spans").alias("spans"), F.collect_list("asked").alias("asked")))
+    count = known.agg(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))).first()[0] or 0
+    fine = max(8 * parts(spark), -(-count // (32 * SORTED)))
 
     def asked_of(lists: list[bytes]) -> np.ndarray:
-        """First and last window start and anchor of the contexts asked for."""
-        return np.unique(np.frombuffer(b"".join(lists), "<i8").reshape(-1, 3), axis=0)
+        """First and last window start, anchor and families of the contexts asked for."""
+        return np.unique(np.frombuffer(b"".join(lists), "<i8").reshape(-1, 4), axis=0)
+
+    def pieces(raw: np.ndarray, s: int, e: int, anchor: int, families: int) -> Iterator[tuple[int, int, bytes]]:
+        """Bucket, first window start and bytes of a context's windows of each family."""
+        if families == 1:
+            yield anchor % fine, s, raw[s : e + length].tobytes()
+            return
+        c = sums(raw[e : s + length])  # all windows hold these bytes, and the anchor is among them
+        h = mix((c[gram:] - c[:-gram]) * powers(len(c))[1][: len(c) - gram])
+        at = e + int(np.argmin(h & ~_HALF))
+        width = -(-(length - gram + 1) // families)
+        for k in range(-(-(length - gram + 1) // width)):  # windows that start k * width to (k + 1) * width - 1 before the anchor
+            low, high = max(s, at - (k + 1) * width + 1), min(e, at - k * width)
+            if low <= high:
+                common = raw[at - k * width : at - (k + 1) * width + 1 + length].tobytes()
+                yield int.from_bytes(hashlib.blake2b(common, digest_size=7, key=b"%d" % k).digest(), "little") % fine, low, raw[low : high + length].tobytes()
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,37 +182,10 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
             for i, (h, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 if h not in seen:  # its other copies follow
                     seen = {h}
-                    raw = data[off[i] : off[i + 1]].tobytes()
-                    out += [(a % fine, h, s, raw[s : e + length]) for s, e, a in asked_of(asked).tolist()]
+                    raw = data[off[i] : off[i + 1]]
+                    out += [(bucket, h, low, piece) for x in asked_of(asked).tolist() for bucket, low, piece in pieces(raw, *x)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "h", "s", "bytes"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[Flush]:
-        """Every window of the contexts of hot anchors, under its own hash."""
-        seen: set[int] = set()
-        held: list[tuple] = []
-        for batch in batches:
-            data, off = text_bytes(batch.column(1))
-            for i, (h, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                if h in seen:
-                    continue
-                seen = {h}
-                raw = data[off[i] : off[i + 1]]
-                for s, e, _ in asked_of(asked).tolist():
-                    at = np.arange(e - s + 1)
-                    held.append((string_hashes(sums(raw[s : e + length]), at, at + length), np.full(len(at), h), s + at))
-                    if len(held) > HELD // 100:
-                        keys, doc, start = (np.concatenate(x) for x in zip(*held))
-                        yield keys, framed(squeeze(doc.view(U8), kind="<u8"), squeeze(start))
-                        held = []
-        if held:
-            keys, doc, start = (np.concatenate(x) for x in zip(*held))
-            yield keys, framed(squeeze(doc.view(U8), kind="<u8"), squeeze(start))
-
-    def often(kept: bytes, totals: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
-        doc, start = unframed(kept)
-        doc, start = expand(doc, 1, "<u8")[0].view(np.int64), expand(start, 1)[0].astype(np.int64)
-        return pd.DataFrame({"h": doc[totals > 1], "s": start[totals > 1], "e": start[totals > 1] + length})
-
     def sorted_(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["h", "s"])
         size = pdf["bytes"].map(len).to_numpy()
@@ -204,14 +198,10 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
         base = pdf["s"].to_numpy()[row] - (ends - size)[row]
         return pd.DataFrame({"h": pdf["h"].to_numpy()[row], "s": first + base, "e": got[last] + base + length})
 
-    def wanted(column: str) -> DataFrame:
-        """Texts, each once for a task, with the contexts asked for."""
-        some = known.where(F.exists(column, lambda x: F.length(x) > 0)).select("h", column)
-        return rows.join(some, "h").select("h", "text", column).sortWithinPartitions("h")
-
-    more = wanted("asked").mapInArrow(cut_out, "bucket long, h long, s long, bytes binary").groupBy("bucket").applyInPandas(sorted_, "h long, s long, e long")
-    if known.where(F.exists("hot", lambda x: F.length(x) > 0)).take(1):
-        more = more.union(census(wanted("hot"), windows, often, "h long, s long, e long", buckets))
+    # texts, each once for a task, with the contexts asked for
+    some = known.where(F.exists("asked", lambda x: F.length(x) > 0)).select("h", "asked")
+    some = rows.join(some, "h").select("h", "text", "asked").sortWithinPartitions("h")
+    more = some.mapInArrow(cut_out, "bucket long, h long, s long, bytes binary").repartition(fine, "bucket").groupBy("bucket").applyInPandas(sorted_, "h long, s long, e long")
     more = more.groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("more"))  # of one distinct text
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +216,7 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int =
     return texts, found
 
 
-def dedup(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40, hot: int = 50_000, carry: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, text: str = "text", length: int = 200, gram: int = 40, hot: int = 2_000, carry: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, keep_text: bool = False) -> DataFrame:
     """Per row: the carried columns, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the kept text.
 
     With whole_characters a span that would cut a character in two keeps that character, so that the kept bytes are UTF-8;
