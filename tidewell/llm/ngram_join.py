@@ -12,15 +12,9 @@ different texts under one key are classes of their own, and a group's component
 3. Join. A block's sets, their shingles in the order of their hashes, which is one for all sets, are the paths of a
    compressed prefix tree; shingles of one set alone are left out of it. A set walks the tree: sets with a common beginning
    share the overlap counted so far, and a subtree is left when the overlap and what may remain on either side can't reach
-   the bound, or when all its sets are already in the walker's component.
-4. Large blocks. A block above `block` classes is dealt to parts, each joined by itself, and then to parts of one class of
-   each component found, as long as that halves them; so a large group of near copies shrinks to a few components in
-   rounds of linear work. What is left to compare are pairs of different components that share one of the few hashes of
-   step 1: each such hash has a posting list, of equal lists the first in order is kept, and lists within one component are
-   done. In a list the classes of its largest component are cut into parts, and each part meets the other classes, also in
-   parts. Two sets are compared in the list of the first hash that they share, by the order of step 1, which bounds their
-   overlap by what follows it in either; the sets are fetched only for classes that have a partner within these bounds.
-5. Components of the links found.
+   the bound, or when it has no set of a fitting size outside the walker's component. Blocks above `block` classes are
+   split into parts, and every pair of parts is a task of its own.
+4. Components of the links found.
 
 No step samples or drops anything, so the result is exact but for collisions of 64-bit hashes. Handled cases: null and
 empty texts have no shingles and link with nothing; with fewer words than a shingle the whole sequence is one; rows
@@ -31,7 +25,7 @@ broken by the smaller key; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,35 +56,15 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, 15 * n // 100)
 
 
-def met(early: list[np.ndarray]) -> np.ndarray:
-    """Which rows have any value in common: a matrix."""
-    m = len(early)
-    _, value, count = np.unique(np.concatenate(early), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), [len(x) for x in early])[count[value] > 1]
-    value = (np.cumsum(count > 1) - 1)[value[count[value] > 1]]
-    out = np.zeros((m, m), bool)
-    for i in range(0, int((count > 1).sum()), 2048):
-        some = (value >= i) & (value < i + 2048)
-        has = np.zeros((m, 2048), np.float32)
-        has[row[some], value[some] - i] = 1
-        out |= has @ has.T > 0
-    return out
-
-
-def feasible(n: np.ndarray, most: np.ndarray, comp: np.ndarray, apart: np.ndarray | None, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the later rows of other components that it may resemble, by their sizes and the largest overlaps possible, but for pairs set apart."""
+def feasible(n: np.ndarray, comp: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set the later sets of other components that it may resemble, by their sizes."""
     for q in range(len(n) - 1):
         need = -(-num * (n[q] + n[q + 1 :]) // (num + den))
-        able = (np.minimum(most[q], most[q + 1 :]) >= need) & (np.minimum(n[q], n[q + 1 :]) >= need) & (comp[q + 1 :] != comp[q])
-        yield q, q + 1 + np.flatnonzero(able if apart is None else able & ~apart[q, q + 1 :])
+        yield q, q + 1 + np.flatnonzero((np.minimum(n[q], n[q + 1 :]) >= need) & (comp[q + 1 :] != comp[q]))
 
 
-def trie_components(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None, most: np.ndarray | None = None, early: list[np.ndarray] | None = None) -> np.ndarray:
-    """A label for each of the sets (ascending distinct hashes); sets linked through similar ones, or with one known label, have the same.
-
-    most: an overlap that a set can't exceed with any set that it is to be compared with. early: sets that have one of these
-    in common are compared elsewhere.
-    """
+def trie_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """A label for each of the sets (ascending distinct hashes); sets linked through similar ones have the same."""
     m, size = len(sets), np.array([len(x) for x in sets])
     _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1  # no overlap lies in hashes of one set alone
@@ -123,12 +97,10 @@ def trie_components(sets: list[np.ndarray], num: int, den: int, known: np.ndarra
         if parent >= 0:
             nodes[parent][7].append(len(nodes))
         nodes.append((lo, hi, paths[lo][top:bottom], bottom, int(size[lo:hi].min()), int(size[lo:hi].max()), int(length[lo:hi].max()), kids, one))
-    comp = np.arange(m) if known is None else known[order]
-    most = size if most is None else most[order]
-    apart = None if early is None else met([early[i] for i in order])
+    comp = np.arange(m)
     mask, can = np.zeros(max(1, int(shared.sum())), bool), np.zeros(m, bool)
     need = lambda a, b: -(-num * (a + b) // (num + den))
-    for q, able in feasible(size, most, comp, apart, num, den):
+    for q, able in feasible(size, comp, num, den):
         if not len(able):
             continue
         mine, n = paths[q], int(size[q])
@@ -208,92 +180,40 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int =
         alone = size - np.bincount(owner[shared], minlength=len(n))  # hashes of the class alone come before
         c, df, token = owner[shared], df[shared], token[shared]
         order = np.lexsort((token, df, c))
-        c, token, times = c[order], token[order], df[order]
+        c, token = c[order], token[order]
         first = np.searchsorted(c, np.arange(len(n)))
-        place = np.arange(len(c)) - first[c] + alone[c]
-        keep = place < (n - least(n, num, den) + 1)[c]
-        c, place = c[keep], place[keep]
-        return pd.DataFrame({"token": signed(token[keep]), "cls": np.frombuffer(cls, np.int64)[c], "df": times[keep], "n": n[c], "most": n[c] - place})
+        keep = np.arange(len(c)) - first[c] < (n - least(n, num, den) + 1 - alone)[c]
+        return pd.DataFrame({"token": signed(token[keep]), "cls": np.frombuffer(cls, np.int64)[c[keep]]})
 
     rows = saved(docs.mapInArrow(profile, "id long, h long, n long, cls long"))
     reps = rows.where("cls is not null and id is not null").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("m"), F.max("n").alias("n"))
     sizes = plan(2 * (reps.agg(F.sum("n")).first()[0] or 0) // 5, 2 * parts(spark))  # of a set the census has two fifths
     reps = reps.select("cls", F.col("m.id").alias("rep"), F.col("m.h").alias("h"))
-    tokens = saved(census(docs.where("id is not null"), prefixes, rarest, "token long, cls long, df long, n long, most long", sizes))
+    tokens = saved(census(docs.where("id is not null"), prefixes, rarest, "token long, cls long", sizes))
     hub = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("times")).where("times > 1").select("token", "hub")
     near = tokens.join(hub, "token").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     blocks = components(near).select(F.col("id").alias("cls"), F.col("component").alias("block"))
     members = saved(blocks.join(reps, "cls"))
-    large = members.groupBy("block").count().where(F.col("count") > block).select("block", F.lit(True).alias("large"))
+    split = members.groupBy("block").agg(F.ceil(F.count("*") / block).alias("k"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = shingle_sets(*text_bytes(batch.column(3)), width)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in got], pa.binary())], ["block", "cls", "large", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in got], pa.binary())], ["block", "rep", "cls", "hashes"])
 
     def similar(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Edges that join the components which links of these classes join; each class is a component, or has one."""
-        pdf = pdf.drop_duplicates("cls").sort_values("cls")  # equal rows
+        pdf = pdf.drop_duplicates("cls").sort_values(["rep", "cls"])  # equal rows
         ids = pdf["cls"].to_numpy()
-        known = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1] if "comp" in pdf else np.arange(len(ids))
-        comp = trie_components([np.frombuffer(x, "<u8") for x in pdf["hashes"]], num, den, known, *((pdf["most"].to_numpy(), list(pdf["early"])) if "most" in pdf else ()))
-        _, one = np.unique(known, return_index=True)  # a class of each component is enough
-        _, first, back = np.unique(comp[one], return_index=True, return_inverse=True)
-        a, b = ids[one], ids[one][first[back]]
-        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-    texts = members.join(large, "block", "left").select("block", "cls", F.coalesce("large", F.lit(False)).alias("large"), F.col("rep").alias("id"), "h")
-    full = docs.join(texts, ["id", "h"]).select("block", "cls", "large", "text").mapInArrow(sets, "block long, cls long, large boolean, hashes binary")
-    links = full.where("not large").groupBy("block").applyInPandas(similar, "a long, b long")
-    if large.take(1):
-        links = saved(links).unionByName(_large(saved(full.where("large").select("block", "cls", "hashes").dropDuplicates(["cls"])), tokens, similar, num, den, block))
+        comp = trie_components([np.frombuffer(x, "<u8") for x in pdf["hashes"]], num, den)
+        _, first, back = np.unique(comp, return_index=True, return_inverse=True)
+        to = ids[first[back]]
+        return pd.DataFrame({"a": ids[to != ids], "b": to[to != ids]})
+
+    full = docs.join(members.withColumnRenamed("rep", "id"), ["id", "h"]).select("block", F.col("id").alias("rep"), "cls", "text").mapInArrow(sets, "block long, rep long, cls long, hashes binary")
+    full = full.join(split, "block").withColumn("i", F.pmod(F.xxhash64("cls"), "k").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cast(k as int) - 1)")))
+    links = full.groupBy("block", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")).applyInPandas(lambda pdf: similar(pdf), "a long, b long")
     found = components(links).withColumnRenamed("id", "cls")
     smallest = found.join(reps, "cls").groupBy("component").agg(F.min("rep").alias("least"))
     of_class = reps.join(found.join(smallest, "component"), "cls", "left").select("cls", F.coalesce("least", "rep").alias("component"))
     out = rows.join(of_class, "cls", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), F.col("h").alias("text_hash"))
     return out if hashed else out.drop("text_hash")
-
-
-def _large(sets: DataFrame, tokens: DataFrame, similar: Callable[[pd.DataFrame], pd.DataFrame], num: int, den: int, block: int) -> DataFrame:
-    """Edges within blocks of more than `block` classes: sets (block, cls, hashes), and the few hashes (token, cls) of step 1."""
-    edge = "a long, b long"
-    nodes, edges, turn = sets.select("block", "cls"), None, 0
-    while True:
-        size = nodes.groupBy("block").agg(F.count("*").alias("before"), F.ceil(F.count("*") / block).alias("k"))
-        part = nodes.join(size, "block").select("cls", F.pmod(F.xxhash64("cls", F.lit(turn)), "k").alias("part"))
-        more = saved(sets.join(part, "cls").groupBy("block", "part").applyInPandas(similar, edge))
-        edges = more if edges is None else edges.unionByName(more)
-        got = components(edges).withColumnRenamed("id", "cls")
-        comp = saved(sets.select("block", "cls").join(got, "cls", "left").select("block", "cls", F.coalesce("component", "cls").alias("comp")))
-        left = comp.where("cls = comp").select("block", "cls")  # a component is named by one of its classes
-        halved = left.groupBy("block").agg(F.count("*").alias("after")).join(size, "block").where("after > 1 and 2 * after <= before").select("block")
-        nodes, turn = saved(left.join(halved, "block", "left_semi")), turn + 1
-        if not nodes.take(1):
-            break
-    listed = tokens.distinct().join(comp.select("cls", "comp"), "cls").groupBy("cls", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", "most"))).alias("t"))  # a quarter of a set at most
-    listed = listed.select("cls", "comp", "n", F.transform("t", lambda x: x["token"]).alias("all"), F.posexplode("t").alias("at", "x"))
-    listed = saved(listed.select("cls", "comp", "n", "x.*", F.slice("all", 1, F.col("at")).alias("early")))
-    per = listed.groupBy("token", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sum"), F.min("df").alias("df"))
-    lists = per.groupBy("token").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("base"), F.count("*").alias("comps"), F.sum("sum").alias("sum"), F.min("df").alias("df"))
-    lists = lists.where("comps > 1").groupBy("all", "sum").agg(F.min(F.struct("df", "token", "base", "most")).alias("x")).select("x.*", "all")
-    ceil = lambda n: F.greatest(F.lit(1), F.ceil(n / block))
-    lists = lists.select("token", "base", ceil(F.col("most")).alias("p"), ceil(F.col("all") - F.col("most")).alias("q"))
-    rows = listed.join(lists, "token").withColumn("inside", F.col("comp") == F.col("base"))
-    i = F.pmod(F.xxhash64("cls"), F.when(F.col("inside"), F.col("p")).otherwise(F.col("q"))).cast("int")
-    upto = lambda c: F.sequence(F.lit(0), c.cast("int") - 1)
-    task = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("x"), b.alias("y"))
-    base = F.transform(upto(F.col("q")), lambda j: task(0, i, j))  # a part of the largest component with each part of the others
-    rest = F.concat(F.transform(upto(F.col("p")), lambda j: task(0, j, i)), F.transform(F.filter(upto(F.col("q")), lambda j: j != i), lambda j: task(1, F.least(i, j), F.greatest(i, j))))
-    key = ["token", "kind", "x", "y"]
-    rows = rows.select("token", "cls", "comp", "n", "most", "early", F.explode(F.when(F.col("inside"), base).otherwise(rest)).alias("t")).select("token", "t.*", "cls", "comp", "n", "most", "early")
-
-    def able(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Classes with a partner that the bounds allow."""
-        keep = np.zeros(len(pdf), bool)
-        for q, some in feasible(*(pdf[c].to_numpy() for c in ("n", "most")), np.unique(pdf["comp"], return_inverse=True)[1], met(list(pdf["early"])), num, den):
-            if len(some):
-                keep[q] = keep[some] = True
-        return pdf[keep]
-
-    some = saved(rows.groupBy(*key).applyInPandas(able, "token long, kind int, x int, y int, cls long, comp long, n long, most long, early array<long>"))
-    return edges.unionByName(some.join(sets.select("cls", "hashes"), "cls").groupBy(*key).applyInPandas(similar, edge))
