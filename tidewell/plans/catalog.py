@@ -349,18 +349,18 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return sketches.sketch_items(src.canonical(spark, d))
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str], DataFrame] = {}
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
-    """The stored sketch states of the test data, partitioned by tenant and day. They are written once in an application, as ingestion would have done."""
+    """The stored sketch states of the test data, partitioned by tenant and day. They are written, and their files listed, once in an application."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _stored:
         path = f"{_scratch(spark)}/states"
         rows = sketches.states(_items(spark, d))
         rows.repartition("tenant_id", "day").write.partitionBy("tenant_id", "day").parquet(path)
-        _stored[at] = path
-    return src.configured(spark).read.schema(sketches.STATES).parquet(_stored[at])
+        _stored[at] = src.configured(spark).read.schema(sketches.STATES).parquet(path)
+    return _stored[at]
 
 
 @query(f"WITH {ITEMS} SELECT * FROM items")
